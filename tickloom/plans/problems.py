@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.clocks import utc_instants
 from tickloom.operators.grid import regular_grid, spacing_of_readings
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.operators.spikes import implausible
@@ -64,3 +67,16 @@ def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of flagged readings."""
     return p2_flags(spark, sf_dir).select("reading_id")
+
+
+def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC instant and status of every header time."""
+    # Leap seconds (some dozens since 1972) and the names of the world's zones are small by nature.
+    leaps = [(r[0], r[1]) for r in read_table(spark, sf_dir, "leap_second").limit(1000).collect()]
+    rows = read_table(spark, sf_dir, "time_stamp").select("stamp_id", F.col("site_code").alias("source"), F.col("raw_stamp").alias("raw"), "mjdref", "timezero", F.col("timesys").alias("system"), F.col("site_zone").alias("zone"), F.col("arrived_at").alias("latest"))
+    return utc_instants(rows, leaps, sorted(zoneinfo.available_timezones()))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stamp that denotes exactly one instant."""
+    return p4_instants(spark, sf_dir).where("utc_ms is not null").select("stamp_id", "utc_ms")
