@@ -53,3 +53,8 @@ def explode_range(df: DataFrame, first: Column, last: Column, out: str, chunk: i
     pieces = pieces.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__z - __a) div {chunk}"))))
     pieces = pieces.withColumns({"__from": F.col("__a") + F.col("__p") * chunk})
     return pieces.withColumn(out, F.explode(F.sequence(F.col("__from"), F.least(F.col("__z"), F.col("__from") + (chunk - 1))))).drop("__a", "__z", "__p", "__from")
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
+    """Hint a broadcast if the side has at most ``most_rows`` rows, as counted; else leave the join to Spark (a shuffle)."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -50,3 +50,46 @@ select obs_id, 'period' as span_kind, s as start_ms, e as stop_ms from merged wh
 union all
 select obs_id, 'gap', e, after from nxt where after > e
 """
+
+P6_FOUND = """
+with o as (
+  select obs_id, lower(trim(mission)) m,
+    coalesce(lower(trim(energy_unit)), case
+      when regexp_matches(lower(remark), '(kev|kiloelectronvolt)') then 'kev'
+      when regexp_matches(lower(remark), '(mev)') then 'mev'
+      when regexp_matches(lower(remark), '(joules)') then 'j'
+      when regexp_matches(lower(remark), '(\\berg\\b)') then 'erg'
+      when regexp_matches(lower(remark), '(\\bev\\b|electronvolt)') then 'ev' end) u
+  from observation),
+p as (select distinct on (event_id) * from photon),
+c as (
+  select event_id, obs_id, energy, u,
+    case m when 'nustar' then 0.04 * pi + 1.6 when 'xmm' then 0.001 * pi when 'nicer' then 0.01 * pi when 'ixpe' then pi * (15.0 / 375) end as cal
+  from p join o using (obs_id)),
+per_obs as (
+  select obs_id, median(energy / cal) r from c where energy is not null and not isnan(energy) and cal > 0 group by 1),
+k as (
+  select event_id, energy, cal, case
+      when u in ('kev') then 1.0 when u in ('ev') then 1e3 when u in ('mev') then 1e-3
+      when u in ('erg', 'ergs') then 1.602176634e-9 when u in ('j') then 1.602176634e-16
+      when r > 30 then 1e3 when r > 0.03 then 1.0 when r > 3e-5 then 1e-3 when r > 1e-12 then 1.602176634e-9 when r is not null then 1.602176634e-16 end as f
+  from c left join per_obs using (obs_id)),
+h as (
+  select distinct on (file_id) file_id, json_extract_string(j, '$.tstart')::double a, json_extract_string(j, '$.tstop')::double z,
+    coalesce(lower(trim(json_extract_string(j, '$.timeunit'))), lower(json_extract_string(j, '$.comment'))) w
+  from (select file_id, regexp_replace(header_json, '"(tstart|tstop|timeunit|comment)":', '"\\1":', 'gi') as raw,
+      json_object('tstart', regexp_extract(header_json, '(?i)"tstart": ([-0-9.eE+]+)', 1), 'tstop', regexp_extract(header_json, '(?i)"tstop": ([-0-9.eE+]+)', 1),
+        'timeunit', nullif(regexp_extract(header_json, '(?i)"timeunit": "([^"]*)"', 1), ''), 'comment', nullif(regexp_extract(header_json, '(?i)"comment": "([^"]*)"', 1), '')) as j
+    from file_header)),
+t as (
+  select file_id, z - a as span, case
+      when regexp_matches(w, '\\b(ms|msec|milliseconds?)\\b') then 0.001 when regexp_matches(w, '\\b(ks|ksec|kiloseconds?)\\b') then 1000.0
+      when regexp_matches(w, '\\b(min|minutes)\\b') then 60.0 when regexp_matches(w, '\\b(h|hr|hours)\\b') then 3600.0
+      when regexp_matches(w, '\\b(d|day|days|tagen)\\b') then 86400.0 else 1.0 end as per
+  from h)
+select 'photon' as rec_table, event_id as rec_id,
+  cast(round(case when energy is null then cal else energy / f end * 1000) as bigint) as common_value
+from k where (energy is null and cal is not null) or (energy is not null and not isnan(energy) and f <> 1.0)
+union all
+select 'file_header', file_id, cast(round(span * per * 1000) as bigint) from t where per <> 1.0
+"""

@@ -11,6 +11,7 @@ from tickloom.operators.clocks import utc_instants
 from tickloom.operators.grid import regular_grid, spacing_of_readings
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.operators.spikes import implausible
+from tickloom.operators.units import header_times, photon_energies
 from tickloom.sources.tables import finite, read_table
 
 
@@ -80,3 +81,31 @@ def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stamp that denotes exactly one instant."""
     return p4_instants(spark, sf_dir).where("utc_ms is not null").select("stamp_id", "utc_ms")
+
+
+def p6_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies of all photons in keV, with the unit found for their observation."""
+    out = photon_energies(read_table(spark, sf_dir, "photon"), read_table(spark, sf_dir, "observation"))
+    return out.withColumn("energy_kev", F.round("energy_kev", 6))
+
+
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers as maps of upper-case keywords to values as text (JSON text for nested ones)."""
+    rows = read_table(spark, sf_dir, "file_header").select("file_id", "stream_id", "seq_no", F.from_json("header_json", "map<string,string>").alias("h")).dropDuplicates(["file_id"])
+    entry = F.transform(F.map_entries("h"), lambda e: F.struct(F.upper(e["key"]), e["value"]))
+    return rows.withColumn("h", F.map_from_entries(entry))
+
+
+def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, stop and duration of all files in seconds, with the unit found."""
+    h = lambda k: F.try_element_at("h", F.lit(k))
+    rows = header_fields(spark, sf_dir).select("file_id", h("TSTART").try_cast("double").alias("start"), h("TSTOP").try_cast("double").alias("stop"), h("TIMEUNIT").alias("time_unit"), h("COMMENT").alias("comment"), h("LIVETIME").try_cast("double").alias("livetime"))
+    return header_times(rows)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photons not recorded in keV in eV, and durations of files not in seconds in milliseconds."""
+    photons = photon_energies(read_table(spark, sf_dir, "photon"), read_table(spark, sf_dir, "observation"))
+    a = photons.where("energy_kev is not null and (from_channel or unit != 'keV')").select(F.lit("photon").alias("rec_table"), F.col("event_id").alias("rec_id"), F.round(F.col("energy_kev") * 1000.0).cast("long").alias("common_value"))
+    b = p6_times(spark, sf_dir).where("unit != 's' and duration_s is not null").select(F.lit("file_header").alias("rec_table"), F.col("file_id").alias("rec_id"), F.round(F.col("duration_s") * 1000.0).cast("long").alias("common_value"))
+    return a.dropDuplicates(["rec_id"]).unionByName(b)
