@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.clocks import utc_instants
+from tickloom.operators.drift import canonical_names, schema_changes, unified
 from tickloom.operators.grid import regular_grid, spacing_of_readings
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.operators.spikes import implausible
@@ -92,8 +93,10 @@ def p6_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers as maps of upper-case keywords to values as text (JSON text for nested ones)."""
     rows = read_table(spark, sf_dir, "file_header").select("file_id", "stream_id", "seq_no", F.from_json("header_json", "map<string,string>").alias("h")).dropDuplicates(["file_id"])
-    entry = F.transform(F.map_entries("h"), lambda e: F.struct(F.upper(e["key"]), e["value"]))
-    return rows.withColumn("h", F.map_from_entries(entry))
+    rows = rows.withColumn("e", F.transform(F.map_entries("h"), lambda e: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v"))))
+    # Of keywords that differ in case only, the first counts.
+    first = F.filter("e", lambda e, i: F.array_position(F.col("e.k"), e["k"]) == i + 1)
+    return rows.withColumn("h", F.map_from_entries(first)).drop("e")
 
 
 def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,3 +112,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = photons.where("energy_kev is not null and (from_channel or unit != 'keV')").select(F.lit("photon").alias("rec_table"), F.col("event_id").alias("rec_id"), F.round(F.col("energy_kev") * 1000.0).cast("long").alias("common_value"))
     b = p6_times(spark, sf_dir).where("unit != 's' and duration_s is not null").select(F.lit("file_header").alias("rec_table"), F.col("file_id").alias("rec_id"), F.round(F.col("duration_s") * 1000.0).cast("long").alias("common_value"))
     return a.dropDuplicates(["rec_id"]).unionByName(b)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "file_header").select("file_id", F.col("stream_id").alias("stream"), F.col("seq_no").alias("seq"), "header_json")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of every file's keywords against the file before it."""
+    return schema_changes(_files(spark, sf_dir)).select("file_id", "field_name", "change_kind")
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All headers in one consistent table, renamed keywords under one name."""
+    files = _files(spark, sf_dir)
+    out = unified(files, canonical_names(schema_changes(files)))
+    return out.select("file_id", F.col("stream").alias("stream_id"), F.col("seq").alias("seq_no"), F.to_json("fields").alias("header_fields"))
