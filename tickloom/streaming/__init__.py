@@ -1 +1 @@
-"""Part of tickloom."""
+"""Streaming twins of the batch operators."""
