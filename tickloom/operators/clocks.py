@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.sources.tables import finite
+from tickloom.operators.blocks import broadcast_if_small
+from tickloom.sources.tables import finite, with_checkpoints
 
 #: Modified Julian date of 1970-01-01, and of a Julian date's zero.
 UNIX_MJD, JD_MJD = 40587, 2400000.5
@@ -170,9 +171,9 @@ def utc_instants(stamps: DataFrame, leaps: list[tuple[int, int]], zones: list[st
     rows = rows.withColumn("number", number).withColumn("date_number", F.when(F.col("raw").rlike(r"^(?i)M?JD[ =]*\d+(\.\d+)?$"), F.regexp_extract("raw", r"(\d+(\.\d+)?)$", 1).try_cast("double")))
     latest_ms = F.unix_micros(F.col("latest").cast("timestamp")) / 1000.0
     rows = rows.withColumn("latest", latest_ms)
-    orders = day_month_orders(rows.select("source", "dmy", "mdy", "latest"))
-    # One row for each source: as many as there are sites, which AQE may broadcast by its measured size.
-    rows = rows.join(orders, "source", "left")
+    with_checkpoints(rows.sparkSession)
+    orders = day_month_orders(rows.select("source", "dmy", "mdy", "latest")).checkpoint()
+    rows = rows.join(broadcast_if_small(orders), "source", "left")
     late = F.col("latest") + 86_400_000.0
 
     def weight(c: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.blocks import blocked_running_sum
+from tickloom.sources.tables import with_checkpoints
 
 #: Readings of one source that are filtered together, and those of the neighbouring blocks that are seen besides.
 BLOCK_ROWS, HALO_ROWS = 2048, 64
@@ -186,10 +187,11 @@ def implausible(readings: DataFrame) -> DataFrame:
     count once; readings at the same time are ordered by id; sources of fewer than three readings have only impossible
     readings.  Long sources are filtered in blocks with a halo.  Output: key, reading_id, reason.
     """
+    with_checkpoints(readings.sparkSession)  # the filter's output is read twice
     rows = readings.select("key", "reading_id", F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"), F.coalesce("counting", F.lit(False)).alias("counting"))
     rows = rows.where("key is not null and reading_id is not null and t is not null and not isnan(t) and value is not null and not isnan(value)").dropDuplicates(["reading_id"])
     cut = with_halo(with_blocks(rows))
-    seen = cut.repartition("key", "block").sortWithinPartitions("key", "block", "t", "reading_id").mapInPandas(_by_group, SUSPECT)
+    seen = cut.repartition("key", "block").sortWithinPartitions("key", "block", "t", "reading_id").mapInPandas(_by_group, SUSPECT).checkpoint()
     usual = seen.where("reason = 'block' and n_clean >= 3").groupBy("key").agg(F.percentile_approx("scatter", 0.5).alias("usual"))
     found = seen.where("reason != 'block'").join(usual, "key", "left")
     floor = F.when(F.col("counting"), F.greatest(F.sqrt(F.greatest("level", F.lit(0.0))), F.lit(1.0))).otherwise(F.lit(0.0))
