@@ -102,7 +102,7 @@ SQL: dict[str, str] = {
       g as (select obs_id, round(gti_start * 1000) s, round(gti_stop * 1000) e from gti where gti_stop > gti_start and not isnan(gti_start) and not isnan(gti_stop))
       select obs_id, count(*) as n_photons from p join o using (obs_id) where ms >= lo and ms < hi and exists (select 1 from g where g.obs_id = p.obs_id and ms >= s and ms < e) group by 1""",
     "occultation_gti": _with("select start, stop from g", "two as (select bin, coalesce(n, 0) as counts from (select unnest(range(360)) as bin) left join (select cast(floor(t / 7200) as bigint) bin, count(*) n from ev group by 1) using (bin)), med as (select median(counts) as m from two), tm as (select * from two, med)", _islands("tm", "counts > 0 or m <= 5", 7200.0)),
-    "split_overlap_chunks": _with("select chunk, count(*) as n, round(min(t), 6) as first_t, round(max(t), 6) as last_t from ev, (select unnest(range(11)) as chunk) where t >= chunk * 216000 and t < chunk * 216000 + 432000 group by 1"),
+    "split_overlap_chunks": _with("select chunk, count(*) as n, round(min(t), 6) as first_t, round(max(t), 6) as last_t from ev, (select unnest(range(12)) as chunk) where t >= chunk * 216000 and t < chunk * 216000 + 432000 group by 1"),
     "split_detector_chunks": _with("select detector_id, cast(floor(t / 86400) as bigint) as chunk, count(*) as n from ev group by all"),
     "split_at_mjd": _with("select case when t < 1339200 then 1 else 2 end as part, count(*) as n, round(max(t), 6) as last_t from ev group by 1"),
     "join_events_union": _with("select event_id, round(t, 6) as t, energy, null::int as pi from ev where instr = 'click' union all select event_id, round(t + 86400, 6), null, pi from ev where instr = 'view'"),
