@@ -56,13 +56,13 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
     seats = int(min(seats, cap.sum()))
     if seats <= 0 or not len(w):
         return [0] * len(w)
-    lo, hi = 1e-300, 2 * w.max() + 1.0
+    lo, hi = w[w > 0].min() / (2 * seats + 2), 2 * w.max() + 1.0
 
     def given(d: float) -> np.ndarray:
         return np.minimum(np.floor(w / d + 0.5), cap)
 
     for _ in range(1200):
-        mid = math.sqrt(lo * hi) if lo > 0 else hi / 2
+        mid = math.sqrt(lo * hi)
         lo, hi = (mid, hi) if given(mid).sum() > seats else (lo, mid)
         if hi / lo < 1 + 1e-15:
             break
