@@ -170,8 +170,10 @@ def utc_instants(stamps: DataFrame, leaps: list[tuple[int, int]], zones: list[st
     number = F.when(F.col("raw").rlike(r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"), F.col("raw").try_cast("double"))
     rows = rows.withColumn("number", number).withColumn("date_number", F.when(F.col("raw").rlike(r"^(?i)M?JD[ =]*\d+(\.\d+)?$"), F.regexp_extract("raw", r"(\d+(\.\d+)?)$", 1).try_cast("double")))
     latest_ms = F.unix_micros(F.col("latest").cast("timestamp")) / 1000.0
-    rows = rows.withColumn("latest", latest_ms)
+    rows = rows.withColumns({"latest": latest_ms, "is_jd": F.col("raw").rlike("^(?i)JD")})
+    # Parsed once: the mixtures and the instants both read it, and the plan of either stays small.
     with_checkpoints(rows.sparkSession)
+    rows = rows.select("stamp_id", "source", "mjdref", "timezero", "system", "zone", "latest", "tag", "offset", "number", "date_number", "is_jd", "dmy", "mdy", "sole").checkpoint()
     orders = day_month_orders(rows.select("source", "dmy", "mdy", "latest")).checkpoint()
     rows = rows.join(broadcast_if_small(orders), "source", "left")
     late = F.col("latest") + 86_400_000.0
@@ -192,7 +194,7 @@ def utc_instants(stamps: DataFrame, leaps: list[tuple[int, int]], zones: list[st
     count = F.lit(None).cast("double")
     for scale in (1000.0, 1.0, 1e-3, 1e-6):
         count = F.when((F.col("number") * scale).between(lo, hi), F.col("number") * scale).otherwise(count)
-    mjd = F.when(F.col("date_number").isNotNull(), F.when(F.col("raw").rlike("^(?i)JD"), F.col("date_number") - JD_MJD).otherwise(F.col("date_number"))).when(F.col("number") >= 2_400_000, F.col("number") - JD_MJD).otherwise(F.col("number"))
+    mjd = F.when(F.col("date_number").isNotNull(), F.when(F.col("is_jd"), F.col("date_number") - JD_MJD).otherwise(F.col("date_number"))).when(F.col("number") >= 2_400_000, F.col("number") - JD_MJD).otherwise(F.col("number"))
     day_ms = (mjd - UNIX_MJD) * 86_400_000.0
     day_ms = F.when(day_ms.between(lo, hi), day_ms)
     unix = F.col("system").isin("UNIX", "POSIX")

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tickloom.functions import stats
 from tickloom.functions.expr import phase, rough_energy, wrap_around_zero, wrap_zero_one
 from tickloom.operators import events as ev
-from tickloom.operators import folding, fourier, gti, simulate
+from tickloom.operators import candidates, folding, fourier, gti, simulate
 from tickloom.operators import lightcurve as lc
 from tickloom.operators.blocks import broadcast_if_small
+from tickloom.operators.ingest import IngestOptions, fill_gaps, ingest, occultations
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.sources.sinks import xspec_rows
 from tickloom.sources.tables import first_arrivals, read_table
@@ -451,4 +452,49 @@ def observation_spectra(s, d):
     return _round(fourier.averaged_spectrum(dft, 16.0, "leahy", ["mission"]).select("mission", "k", "power", "m"), "power")
 
 
+def ingest_chunks(s, d):
+    """Events prepared with safe intervals and a least length, split by good interval."""
+    rows, _ = ingest(events(s, d).select("event_id", "t"), _gti_of(s, d, None, 10), IngestOptions(min_length=7200.0, safe_before=600.0, safe_after=300.0, split_by_gti=True), 0.0, SPAN)
+    return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("t"), 6).alias("first_t"))
+
+
+def occultation_ingest(s, d):
+    """Good time after empty bins are taken for occultations."""
+    whole = s.createDataFrame([(0.0, SPAN)], "start double, stop double")
+    return occultations(events(s, d), whole, 2 * HOUR, 0.0, SPAN, 1.0)
+
+
+def fill_short_gaps(s, d):
+    """Random events at the local rate in short gaps of the good time."""
+    rows, _ = fill_gaps(events(s, d).select("event_id", "t"), _gti_of(s, d, None, 12), 3 * HOUR, 5)
+    return rows.where("filled").groupBy(F.floor(F.col("t") / HOUR).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def peak_boundaries(s, d):
+    grid = _round(folding.z2_stat(_grid(s, d), NBIN, 2, ["i"]), "stat")
+    return candidates.boundaries(grid, "i", 24, 1.0)
+
+
+def grid_maxima(s, d):
+    grid = _round(folding.z2_stat(folding.trial_profiles(events(s, d), NBIN, FREQS[::4], FDOTS), NBIN, 2, ["i", "j"]), "stat")
+    return candidates.local_maxima(grid)
+
+
+def phase_exposure(s, d):
+    return _round(candidates.phase_exposure(_gti_of(s, d, None, 12), 1 / 30_000, 16), "expo", digits=7)
+
+
+def candidate_limits(s, d):
+    """Limits and amplitudes of the five best trials."""
+    e = events(s, d)
+    best = folding.top_candidates(_round(folding.z2_stat(_grid(s, d), NBIN, 2, ["i"]), "stat"), 5, "i").collect()
+    return _round(candidates.candidate_table(s, [{"f": FREQS[r["i"]], "stat": r["stat"]} for r in best], float(e.count()), 2), "f", "power_lo", "power_hi", "amp", "amp_lo", "amp_hi", "amp_limit", digits=9)
+
+
+def orbital_grid(s, d):
+    """Trials of a random orbital grid that have no result yet."""
+    grid = candidates.orbital_grid(s, 10, SPAN, (1e-5, 2e-5), (2 * DAY, 5 * DAY), (1000.0, 200_000.0), 3)
+    return candidates.pending(grid, grid.where("draw < 3").select("draw").distinct(), "draw")
+
+
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "events"]

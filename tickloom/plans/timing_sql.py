@@ -160,6 +160,11 @@ SQL: dict[str, str] = {
     "interpolate_orbit": _with(f"select event_id, round(a + (t / 2592.0 - c) * (b - a), 5) as delay from (select event_id, t, c, 12.5 * sin(c * {2 * math.pi * 2592.0 / (3.7 * 86400)!r}::double) as a, 12.5 * sin((c + 1) * {2 * math.pi * 2592.0 / (3.7 * 86400)!r}::double) as b from (select *, floor(t / 2592.0) as c from ev))"),
     "orbital_search": _with(f"select x, p, max(stat) as max_stat, min(stat) as min_stat from (select x, p, z, round(sum(n * n) / (sum(n) / 8.0) - sum(n), 6) as stat from (select x, p, z, least(floor({PHASE.format(x=f'{t.F0!r}::double * e')} * 8), 7) as b, count(*) as n from em group by all) group by all) group by x, p", ORBIT),
     "scramble_flat": _with("select start, stop, count(*) as n from ev join g on t >= start and t < stop group by all", HOURLY, _islands("hourly", "counts > 12")),
+    "ingest_chunks": _with("select start as chunk, count(*) as n, round(min(t), 6) as first_t from ev join (select start + 600 as start, stop - 300 as stop from g where stop - start - 900 >= 7200) on t >= start and t < stop group by start", HOURLY, _islands("hourly", "counts > 10")),
+    "occultation_ingest": _with("select start + 7200 as start, stop - 7200 as stop from g where stop - start > 14400", "two as (select bin, coalesce(n, 0) as counts from (select unnest(range(360)) as bin) left join (select cast(floor(t / 7200) as bigint) bin, count(*) n from ev group by 1) using (bin))", _islands("two", "counts > 0", 7200.0)),
+    "peak_boundaries": _with("select coalesce((select max(i) from zz where i < 24 and stat <= 1.0) + 1, min(i)) as lo, coalesce((select min(i) from zz where i > 24 and stat <= 1.0) - 1, max(i)) as hi from zz", _trial(t.FREQS), "zz as (" + _z2("pr", "i", 2) + ")"),
+    "grid_maxima": _with("select i, j, stat from zz a where not exists (select 1 from zz b where abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and b.stat > a.stat)", _trial(t.FREQS[::4], t.FDOTS), "zz as (" + _z2("pr", "i, j", 2) + ")"),
+    "phase_exposure": _with("select phbin, round(e / avg(e) over (), 7) as expo from (select phbin, sum(greatest(least(z, c + (phbin + 1) / 16.0) - greatest(a, c + phbin / 16.0), 0)) as e from (select a, z, unnest(range(cast(floor(a) as bigint), cast(ceil(z) as bigint) + 1)) as c from (select start / 30000.0 as a, stop / 30000.0 as z from g)), (select unnest(range(16)) as phbin) group by phbin)", HOURLY, _islands("hourly", "counts > 12")),
     "lineitem_lightcurve_weighted": "select l_returnflag, datediff('day', timestamp '1995-01-01', l_shipdate) // 7 as week, count(*) as counts, round(sum(l_extendedprice), 2) as flux from lineitem group by all",
     "lineitem_pds": """with b as (select d // 64 as seg, d % 64 as bin, count(*) n from (select datediff('day', timestamp '1995-01-01', l_shipdate) as d from lineitem) group by all),
       f as (select seg, k, sum(n * cos(2 * pi() * k * bin / 64)) re, sum(n * sin(2 * pi() * k * bin / 64)) im, sum(n) n_ph from b, (select unnest(range(1, 32)) as k) group by all)
