@@ -138,10 +138,11 @@ def default_template(profile: np.ndarray, fine: int = 100) -> tuple[np.ndarray,
 
 
 def two_sinusoids(profile: np.ndarray) -> tuple[float, float, float, float, float]:
-    """Base, amplitudes and phases of the first two harmonics: the least-squares fit of two sinusoids to an even grid."""
+    """Base, amplitude 1, phase 1, amplitude 2, phase 2 of base + a1 cos(2 pi (x + p1)) + a2 cos(2 pi (2 x + p2)): the least-squares fit on an even grid."""
     n = len(profile)
     f = np.fft.rfft(profile) / n
     half = 0.5 / n
     amps = 2 * np.abs(f[1:3])
-    phases = [(-np.angle(f[k]) / TWO_PI - k * half) % 1.0 for k in (1, 2)]
-    return float(f[0].real), float(amps[0]), float((-phases[0]) % 1.0), float(amps[1]), float((-phases[1]) % 1.0)
+    # The grid's first point is half a bin into the phase.
+    phases = [float((np.angle(f[k]) / TWO_PI - k * half) % 1.0) for k in (1, 2)]
+    return float(f[0].real), float(amps[0]), phases[0], float(amps[1]), phases[1]
