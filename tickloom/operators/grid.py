@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import blocked_lag, explode_range
-from tickloom.sources.tables import finite
+from tickloom.operators.blocks import blocked_lag, broadcast_if_small, explode_range
+from tickloom.sources.tables import finite, with_checkpoints
 
 #: Cells of one key that are handled together, at most.
 CELL_BLOCK = 4096
@@ -89,32 +89,32 @@ def _predict(u: F.Column, harmonics: int) -> F.Column:
 def observed_cells(readings: DataFrame, sources: DataFrame) -> DataFrame:
     """Readings into the cells of their source: key, cell, n_readings, value (their mean), n_cells.
 
-    ``readings``: key, reading_id, t, value; ``sources``: key, t0, step, n_cells.  A reading fills a cell if its value is
+    ``readings``: key, reading_id, t, value; ``sources``: key, t0, step, n_cells, counting.  A reading fills a cell if its value is
     finite and its time lies in the grid.  Rows that repeat a reading_id of the key and cell count once.
     """
-    placed = readings.where(F.col("t").isNotNull() & finite("value").isNotNull()).join(sources, "key")
+    placed = readings.where(F.col("t").isNotNull() & finite("value").isNotNull()).join(broadcast_if_small(sources), "key")
     cell = F.floor((F.col("t") - F.col("t0") + EDGE) / F.col("step")).cast("long")
     placed = placed.withColumn("cell", cell).where("cell >= 0 and cell < n_cells")
-    once = placed.groupBy("reading_id", "key", "cell", "n_cells").agg(F.max("value").alias("value"))
-    return once.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_readings"), F.avg("value").alias("value"), F.max("n_cells").alias("n_cells"))
+    once = placed.groupBy("reading_id", "key", "cell", "n_cells", "counting").agg(F.max("value").alias("value"))
+    return once.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n_readings"), F.when(F.max("counting"), F.count(F.lit(1)).cast("double")).otherwise(F.avg("value")).alias("value"), F.max("n_cells").alias("n_cells"))
 
 
-def regular_grid(readings: DataFrame, sources: DataFrame, harmonics: int = 2, counting: bool = False) -> DataFrame:
+def regular_grid(readings: DataFrame, sources: DataFrame, harmonics: int = 2) -> DataFrame:
     """Every source on its regular grid, with empty cells predicted and marked.
 
-    ``readings``: key, reading_id, t, value.  ``sources``: key, t0, step, n_cells.  The value of a filled cell is the mean
-    of its readings, or with ``counting`` their number.  A harmonic seasonal regression with trend is fitted to the
-    filled cells of each source; an empty cell gets its prediction plus the residual bridged linearly between the two
-    filled cells around it (the nearest one at an edge).  Output: key, cell_no, value, filled, n_readings.
+    ``readings``: key, reading_id, t, value.  ``sources``: key, t0, step, n_cells, counting.  The value of a filled cell
+    is the mean of its readings, or in a counting source their number.  A harmonic seasonal regression with trend is
+    fitted to the filled cells of each source; an empty cell gets its prediction plus the residual bridged linearly
+    between the two filled cells around it (the nearest one at an edge).  Output: key, cell_no, value, filled, n_readings.
 
     Sources with a null or non-positive step or without cells give no rows; sources without any reading give empty cells
     with a null value; readings with null time, null, NaN or infinite value, of an unknown source or outside the grid
-    fill nothing; repeats count once.  Extra columns are ignored.
+    fill nothing; repeats count once; of repeated sources any one counts.  Extra columns are ignored.  The sources and
+    the filled cells are written to the checkpoint folder, since several steps read them.
     """
-    sources = sources.select("key", "t0", "step", "n_cells").where("key is not null and t0 is not null and step > 0 and n_cells > 0")
-    filled = observed_cells(readings.select("key", "reading_id", "t", "value"), sources)
-    if counting:
-        filled = filled.withColumn("value", F.col("n_readings").cast("double"))
+    with_checkpoints(readings.sparkSession)
+    sources = sources.select("key", "t0", "step", "n_cells", "counting").where("key is not null and t0 is not null and step > 0 and n_cells > 0").dropDuplicates(["key"]).checkpoint()
+    filled = observed_cells(readings.select("key", "reading_id", "t", "value"), sources).checkpoint()
     u = (F.col("cell") + F.lit(0.5)) / F.col("n_cells")
     fits = seasonal_fit(filled.select("key", u.alias("u"), "value"), harmonics)
     block = F.expr(f"cell div {CELL_BLOCK}")

@@ -21,29 +21,23 @@ def _cells(t0: str, t1: str, step: str) -> F.Column:
     return F.expr(f"cast(round(({t1} - {t0}) / {step}) as bigint)")
 
 
-def grid_of_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lightcurve on the grid of lc_series."""
+def _series_sources(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Series with their step: timedel, else the dt most of their readings carry, else the spacing of readings."""
     series = read_table(spark, sf_dir, "lc_series").dropDuplicates(["series_id"]).select(F.col("series_id").alias("key"), finite("timedel").alias("timedel"), "tstart", "tstop")
-    rows = read_table(spark, sf_dir, "lightcurve").select(F.col("series_id").alias("key"), "reading_id", F.col("bin_time").alias("t"), F.col("counts").alias("value"), finite("dt").alias("dt"))
     carried = rows.where("dt > 0").groupBy("key", "dt").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("dt", F.struct("n", -F.col("dt"))).alias("dt"))
     known = series.join(carried, "key", "left").withColumn("step", F.coalesce(F.expr("case when timedel > 0 then timedel end"), "dt"))
     open_ones = known.where("step is null").select("key", "tstart", (F.col("tstop") - F.col("tstart")).alias("span"))
     spaced = spacing_of_readings(rows.select("key", "t").join(open_ones, "key"), "key", "t", "tstart", "span").withColumnRenamed("step", "spacing")
-    sources = known.join(spaced, "key", "left").withColumn("step", F.coalesce("step", "spacing")).select("key", F.col("tstart").alias("t0"), "step", _cells("tstart", "tstop", "step").alias("n_cells"))
-    return regular_grid(rows, sources)
-
-
-def grid_of_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photon counts on the grid of observation."""
-    sources = read_table(spark, sf_dir, "observation").dropDuplicates(["obs_id"]).select(F.col("obs_id").alias("key"), F.col("tstart").alias("t0"), F.col("bin_dt").alias("step"), _cells("tstart", "tstop", "bin_dt").alias("n_cells"))
-    rows = read_table(spark, sf_dir, "photon").select(F.col("obs_id").alias("key"), F.col("event_id").alias("reading_id"), F.col("event_time").alias("t"), F.lit(1.0).alias("value"))
-    return regular_grid(rows, sources, counting=True)
+    return known.join(spaced, "key", "left").withColumn("step", F.coalesce("step", "spacing")).select("key", F.col("tstart").alias("t0"), "step", _cells("tstart", "tstop", "step").alias("n_cells"), F.lit(False).alias("counting"))
 
 
 def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series and observation on its grid; empty cells have a predicted value and filled = false."""
-    both = grid_of_series(spark, sf_dir).unionByName(grid_of_observations(spark, sf_dir))
-    return both.select(F.col("key").alias("series_key"), "cell_no", F.round("value", 6).alias("cell_value"), "filled", "n_readings")
+    rows = read_table(spark, sf_dir, "lightcurve").select(F.col("series_id").alias("key"), "reading_id", F.col("bin_time").alias("t"), F.col("counts").alias("value"), finite("dt").alias("dt"))
+    photons = read_table(spark, sf_dir, "photon").select(F.col("obs_id").alias("key"), F.col("event_id").alias("reading_id"), F.col("event_time").alias("t"), F.lit(1.0).alias("value"))
+    observed = read_table(spark, sf_dir, "observation").select(F.col("obs_id").alias("key"), F.col("tstart").alias("t0"), F.col("bin_dt").alias("step"), _cells("tstart", "tstop", "bin_dt").alias("n_cells"), F.lit(True).alias("counting"))
+    grid = regular_grid(rows.drop("dt").unionByName(photons), _series_sources(spark, sf_dir, rows).unionByName(observed))
+    return grid.select(F.col("key").alias("series_key"), "cell_no", F.round("value", 6).alias("cell_value"), "filled", "n_readings")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
