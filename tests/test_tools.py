@@ -74,3 +74,16 @@ def test_frames_and_commands(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "g")).collect()] == [(0.0, 100.0)]
     assert cli.main(["fake", "-", str(tmp_path / "f"), "--count", "10", "--tstop", "5"]) == 0 and spark.read.parquet(str(tmp_path / "f")).count() == 10
     assert math.isclose(spark.read.parquet(str(tmp_path / "lc")).agg({"counts": "sum"}).first()[0], 400)
+
+
+def test_spectrum_fits():
+    from tickloom.functions import kernels
+
+    rng = np.random.default_rng(4)
+    f, m = np.linspace(0.1, 10, 200), np.full(200, 50.0)
+    true = 30 * (f / f.mean()) ** -1.5 + 2
+    q, ll = kernels.fit_spectrum(f, true * rng.gamma(50, 1 / 50, 200), m, "powerlaw")
+    assert q[0] == pytest.approx(30, rel=0.1) and q[1] == pytest.approx(1.5, abs=0.1) and ll > kernels.fit_spectrum(f, true, m, "constant")[1]
+    line = 40 * 0.3**2 / ((f - 4) ** 2 + 0.3**2) + 2
+    q, _ = kernels.fit_spectrum(f, line * rng.gamma(50, 1 / 50, 200), m, "lorentzian")
+    assert q[1] == pytest.approx(4, abs=0.1) and q[2] == pytest.approx(0.3, rel=0.3)

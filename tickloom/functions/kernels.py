@@ -151,3 +151,49 @@ def gaussian_smooth(y: np.ndarray, sigma: float, wrap: bool = True) -> np.ndarra
     k /= k.sum()
     pad = np.pad(y, h, mode="wrap" if wrap else "edge")
     return np.convolve(pad, k, mode="valid")
+
+
+def fit_spectrum(freq: np.ndarray, power: np.ndarray, m: np.ndarray, kind: str = "powerlaw") -> tuple[np.ndarray, float]:
+    """Maximum-likelihood fit of a mean of m exponentials: parameters and the log likelihood.
+
+    Models: 'constant' (c), 'powerlaw' (norm, index, c), 'lorentzian' (norm, centre, width, c).  Parameters that have to be
+    positive are fitted by their logarithms, by Newton steps on the expected information with a damping that adapts.
+    """
+
+    def model(q):
+        if kind == "constant":
+            return np.exp(q[0]) + 0 * freq
+        if kind == "powerlaw":
+            return np.exp(q[0]) * (freq / freq.mean()) ** -q[1] + np.exp(q[2])
+        return np.exp(q[0]) * np.exp(q[2]) ** 2 / ((freq - q[1]) ** 2 + np.exp(q[2]) ** 2) + np.exp(q[3])
+
+    def loglike(q):
+        x = model(q)
+        return -float((m * (np.log(x) + power / x)).sum())
+
+    high = max(float(np.median(power)), 1e-12)
+    k = int(np.argmax(power))
+    top = max(float(power[k]) - high, high * 0.1)
+    q = np.array({"constant": [math.log(high)], "powerlaw": [math.log(max(float(power[0]) - high, high * 0.1)), 1.0, math.log(high)], "lorentzian": [math.log(top), freq[k], math.log((freq[-1] - freq[0]) / 20), math.log(high)]}[kind], float)
+    lam, best = 1e-2, loglike(q)
+    for _ in range(300):
+        x = model(q)
+        step = np.maximum(np.abs(q), 1e-3) * 1e-6
+        jac = np.stack([(model(q + np.eye(len(q))[i] * step[i]) - model(q - np.eye(len(q))[i] * step[i])) / (2 * step[i]) for i in range(len(q))], 1)
+        grad = jac.T @ (m * (power - x) / x**2)
+        info = jac.T @ (jac * (m / x**2)[:, None])
+        d = np.linalg.solve(info + lam * np.diag(np.diag(info) + 1e-12), grad)
+        new = loglike(q + d)
+        if np.isfinite(new) and new > best:
+            small = new - best < 1e-10 * max(1.0, abs(best))
+            q, best, lam = q + d, new, lam / 4
+            if small:
+                break
+        else:
+            lam *= 5
+            if lam > 1e14:
+                break
+    out = q.copy()
+    for i in {"constant": [0], "powerlaw": [0, 2], "lorentzian": [0, 2, 3]}[kind]:
+        out[i] = math.exp(q[i])
+    return out, best

@@ -6,13 +6,14 @@ instr the event type, detector_id the user modulo 4.  They span 30 days.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions import stats
+from tickloom.functions import kernels, stats
 from tickloom.functions.expr import phase, rough_energy, wrap_around_zero, wrap_zero_one
 from tickloom.operators import events as ev
 from tickloom.operators import candidates, folding, fourier, gti, simulate
@@ -497,4 +498,66 @@ def orbital_grid(s, d):
     return candidates.pending(grid, grid.where("draw < 3").select("draw").distinct(), "draw")
 
 
+def pulsed_fraction_energy(s, d):
+    """Pulsed fraction (max - min) / max of the profile of each energy quartile, with all phase bins."""
+    e = events(s, d)
+    cuts = e.agg(F.percentile("energy", [0.25, 0.5, 0.75]).alias("q"))
+    rows = e.join(F.broadcast(cuts)).withColumn("ebin", F.expr("cast(energy > q[0] as int) + cast(energy > q[1] as int) + cast(energy > q[2] as int)"))
+    prof = folding.fold(rows, NBIN, F0, keys=["ebin"]).groupBy("ebin").agg(F.max("counts").alias("hi"), F.min("counts").alias("low"), F.count(F.lit(1)).alias("n"))
+    return prof.select("ebin", F.round((F.col("hi") - F.when(F.col("n") < NBIN, 0).otherwise(F.col("low"))) / F.col("hi"), 6).alias("pulsed_fraction"))
+
+
+def color_color(s, d):
+    """Two colours of the same segments."""
+    e = events(s, d)
+    soft, hard = (lc.color_evolution(e, bands, DAY).select("seg", F.col("ratio").alias(n)) for n, bands in (("soft", [(0.0, 5.0), (5.01, 10.0)]), ("hard", [(10.01, 20.0), (20.01, 80.0)])))
+    return _round(soft.join(hard, "seg"), "soft", "hard")
+
+
+def deadtime_distribution(s, d):
+    """Histogram of the time between events less the livetime before each."""
+    e = ev.with_prior(events(s, d), ["instr"], 7200.0)
+    rows = e.withColumn("dead", F.col("prior") - F.least(F.col("prior"), F.lit(1800.0)))
+    return lc.histogram(rows, [("dead", 0.0, 5400.0, 54)])
+
+
+def pds_white_sub(s, d):
+    """Spectrum above the level of its upper third, times frequency."""
+    p = fourier.averaged_spectrum(_dft(s, d), DAY)
+    level = p.where("k > 8").agg(F.avg("power").alias("level"))
+    return _round(p.join(F.broadcast(level)).select("k", (F.col("freq") * (F.col("power") - F.col("level"))).alias("fp"), F.lit(round(stats.power_level(0.01, 11, 30), 6)).alias("detection")), "fp", digits=10)
+
+
+def instrument_files(s, d):
+    """Observations of every instrument in order of their start."""
+    o = read_table(s, d, "observation").dropDuplicates(["obs_id"])
+    ranked = o.groupBy("instr").agg(F.sort_array(F.collect_list(F.struct("tstart", "obs_id"))).alias("x"))
+    return ranked.select("instr", F.size("x").alias("n_files"), F.concat_ws(",", F.slice(F.transform("x", lambda r: r["obs_id"]), 1, 5)).alias("first_files"))
+
+
+def observation_summary(s, d):
+    """Header summary: photons, span in MJD and mean rate of every observation."""
+    o = read_table(s, d, "observation").dropDuplicates(["obs_id"]).select("obs_id", "mission", "instr", "mjdref", "tstart", "tstop")
+    n = first_arrivals(read_table(s, d, "photon").select("event_id", "obs_id"), "event_id").groupBy("obs_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = o.join(n, "obs_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    mjd = lambda c: F.round(F.col(c) / DAY + F.col("mjdref"), 6)
+    return rows.select("obs_id", "mission", "instr", "n", mjd("tstart").alias("mjd_start"), mjd("tstop").alias("mjd_stop"), F.round(F.col("n") / (F.col("tstop") - F.col("tstart")), 6).alias("rate"))
+
+
+def channel_spectrum(s, d):
+    """Counts of energies of every mission's photons in bins of half a keV, by the rough calibration."""
+    return rough_calibration(s, d).groupBy(F.floor(F.col("energy_kev") * 2).alias("ebin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spectrum_model(s, d):
+    """Maximum-likelihood fits of models to the averaged spectrum, which is a few rows."""
+    p = sorted(fourier.averaged_spectrum(_dft(s, d), DAY).select("freq", "power", "m").collect())
+    f, x, m = (np.array(c, float) for c in zip(*p))
+    rows = []
+    for kind in ("constant", "powerlaw"):
+        q, ll = kernels.fit_spectrum(f, x, m, kind)
+        rows.append((kind, json.dumps([round(float(v), 6) for v in q]), round(ll, 4)))
+    return s.createDataFrame(rows, "model string, parameters string, loglike double")
+
+
 NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "events"]

@@ -165,6 +165,13 @@ SQL: dict[str, str] = {
     "peak_boundaries": _with("select coalesce((select max(i) from zz where i < 24 and stat <= 1.0) + 1, min(i)) as lo, coalesce((select min(i) from zz where i > 24 and stat <= 1.0) - 1, max(i)) as hi from zz", _trial(t.FREQS), "zz as (" + _z2("pr", "i", 2) + ")"),
     "grid_maxima": _with("select i, j, stat from zz a where not exists (select 1 from zz b where abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and b.stat > a.stat)", _trial(t.FREQS[::4], t.FDOTS), "zz as (" + _z2("pr", "i, j", 2) + ")"),
     "phase_exposure": _with("select phbin, round(e / avg(e) over (), 7) as expo from (select phbin, sum(greatest(least(z, c + (phbin + 1) / 16.0) - greatest(a, c + phbin / 16.0), 0)) as e from (select a, z, unnest(range(cast(floor(a) as bigint), cast(ceil(z) as bigint) + 1)) as c from (select start / 30000.0 as a, stop / 30000.0 as z from g)), (select unnest(range(16)) as phbin) group by phbin)", HOURLY, _islands("hourly", "counts > 12")),
+    "pulsed_fraction_energy": _with(f"select ebin, round((max(n) - case when count(*) < 16 then 0 else min(n) end) / max(n), 6) as pulsed_fraction from (select (energy > q[1])::int + (energy > q[2])::int + (energy > q[3])::int as ebin, least(floor({PHASE.format(x=f'{t.F0!r}::double * t')} * 16), 15) as b, count(*) as n from ev, (select quantile_cont(energy, [0.25, 0.5, 0.75]) as q from ev) group by all) group by ebin"),
+    "color_color": _with("select cast(floor(t / 86400) as bigint) as seg, round(count(*) filter (energy between 5.01 and 10) / nullif(count(*) filter (energy between 0 and 5), 0), 6) as soft, round(count(*) filter (energy between 20.01 and 80) / nullif(count(*) filter (energy between 10.01 and 20), 0), 6) as hard from ev group by 1"),
+    "deadtime_distribution": _with("select cast(floor(dead / 100) as bigint) as b0, count(*) as counts from (select prior - least(prior, 1800.0) as dead from (select coalesce(least(t - lag(t) over (partition by instr order by t, event_id), 7200.0), 7200.0) as prior from ev)) where dead >= 0 and dead < 5400 group by 1"),
+    "pds_white_sub": _with(f"select k, round(k / 86400.0 * (p - l), 10) as fp, {round(stats.power_level(0.01, 11, 30), 6)!r}::double as detection from (select k, avg({LEAHY}) p from dft group by k), (select avg(p) l from (select avg({LEAHY}) p from dft where k > 8 group by k))", _dft()),
+    "instrument_files": "select instr, count(*)::int as n_files, array_to_string((list(obs_id order by tstart, obs_id))[1:5], ',') as first_files from (select distinct on (obs_id) * from observation) group by instr",
+    "observation_summary": "select obs_id, mission, instr, coalesce(n, 0) as n, round(tstart / 86400 + mjdref, 6) as mjd_start, round(tstop / 86400 + mjdref, 6) as mjd_stop, round(coalesce(n, 0) / (tstop - tstart), 6) as rate from observation left join (select obs_id, count(distinct event_id) n from photon group by 1) using (obs_id)",
+    "channel_spectrum": "select cast(floor(round(case lower(trim(mission)) when 'nustar' then 0.04 * pi + 1.6 when 'xmm' then 0.001 * pi when 'nicer' then 0.01 * pi when 'ixpe' then pi * 0.04 end, 6) * 2) as bigint) as ebin, count(*) as n from (select distinct on (event_id) event_id, obs_id, pi from photon) join observation using (obs_id) where pi is not null and lower(trim(mission)) in ('nustar', 'xmm', 'nicer', 'ixpe') group by 1",
     "lineitem_lightcurve_weighted": "select l_returnflag, datediff('day', timestamp '1995-01-01', l_shipdate) // 7 as week, count(*) as counts, round(sum(l_extendedprice), 2) as flux from lineitem group by all",
     "lineitem_pds": """with b as (select d // 64 as seg, d % 64 as bin, count(*) n from (select datediff('day', timestamp '1995-01-01', l_shipdate) as d from lineitem) group by all),
       f as (select seg, k, sum(n * cos(2 * pi() * k * bin / 64)) re, sum(n * sin(2 * pi() * k * bin / 64)) im, sum(n) n_ph from b, (select unnest(range(1, 32)) as k) group by all)
