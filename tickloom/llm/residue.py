@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Bounds of the labelled sample that the classifier is fitted on: documents without and distinct passages with a label.
-SAMPLE_DOCS, SAMPLE_TRUSTED = 6000, 6000
+SAMPLE_DOCS, SAMPLE_TRUSTED = 6000, 3000
 #: Passages of content among them that stand for what surrounds an unfilled slot.
 STANDINS = 8000
 #: Share of known words from which a passage with a slot is first taken for unfilled.
@@ -33,7 +33,7 @@ TRUSTED = (
 #: Pseudo-Latin filler: a passage most of whose words are of this kind is trusted too. Fixed values.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor tempora incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure".split())
 
-_NAME = r"[A-Za-z][A-Za-z]+(?:[._ ][A-Za-z]+)*"
+_NAME = r"(?:[A-Za-z]+(?:[._ ][A-Za-z]+)+|[A-Za-z]{2,})"
 #: Syntaxes of template slots around a name of letters. Fixed values.
 SLOT = re.compile(
     rf"\{{\{{\s*({_NAME})\s*\}}\}}|\{{%-?\s*(?:block )?({_NAME})\s*-?%\}}|[$#]\{{\s*({_NAME})\s*\}}|(?<![\w{{$#\\])\{{\s*({_NAME})\s*\}}(?!\}})|\[\[\s*({_NAME})\s*\]\]|(?<![\w\[])\[\s*({_NAME})\s*\](?![\](])"
@@ -186,13 +186,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_trusted: int =
     """Classifiers of residue and of unfilled slots.
 
     The trusted passages are looked for in all documents and the most frequent distinct ones are taken, at most
-    ``sample_trusted``; the unlabelled ones are those of the ``sample_docs`` documents that a hash of the id puts first.
-    Both bounds hold whatever the corpus.
+    ``sample_trusted``; the unlabelled ones are those of about ``sample_docs`` documents that a hash of the id draws.  Both
+    bounds hold whatever the corpus; a document gives at most 100,000 characters to the sample (all texts are scored whole).
     """
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") < 2000)
     sure = lines.where(F.col("line").rlike(rf"(?iu)^\s*(?:{TRUSTED})")).groupBy(F.trim(F.regexp_replace("line", r"\d+", "7")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
     trusted = [r["line"] for r in sure.orderBy(F.desc("n"), "line").limit(sample_trusted).collect()]
-    pages = [r["text"] for r in docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").collect()]
+    share = sample_docs / max(docs.count(), sample_docs)
+    drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(share * 2**32)) & F.col("text").isNotNull())
+    pages = [text for _, text in sorted(tuple(r) for r in drawn.select(F.xxhash64("doc_id"), F.substring("text", 1, 100_000)).collect())]
     plain, filled, slotted, proven = [], [features(x) for x in trusted], [], []
     for page in pages:
         for line in dict.fromkeys(page.split("\n")):
