@@ -171,10 +171,11 @@ def fit_spectrum(freq: np.ndarray, power: np.ndarray, m: np.ndarray, kind: str =
         x = model(q)
         return -float((m * (np.log(x) + power / x)).sum())
 
-    high = max(float(np.median(power)), 1e-12)
+    high = max(float(np.quantile(power, 0.05)), 1e-12)
     k = int(np.argmax(power))
     top = max(float(power[k]) - high, high * 0.1)
-    q = np.array({"constant": [math.log(high)], "powerlaw": [math.log(max(float(power[0]) - high, high * 0.1)), 1.0, math.log(high)], "lorentzian": [math.log(top), freq[k], math.log((freq[-1] - freq[0]) / 20), math.log(high)]}[kind], float)
+    q = np.array({"constant": [math.log(high)], "powerlaw": [math.log(max(float(np.median(power)) - high, high * 0.1)), 1.0, math.log(high / 2)], "lorentzian": [math.log(top), freq[k], math.log((freq[-1] - freq[0]) / 20), math.log(high)]}[kind], float)
+    positive = np.isin(np.arange(len(q)), {"constant": [0], "powerlaw": [0, 2], "lorentzian": [0, 2, 3]}[kind])
     lam, best = 1e-2, loglike(q)
     for _ in range(300):
         x = model(q)
@@ -183,6 +184,8 @@ def fit_spectrum(freq: np.ndarray, power: np.ndarray, m: np.ndarray, kind: str =
         grad = jac.T @ (m * (power - x) / x**2)
         info = jac.T @ (jac * (m / x**2)[:, None])
         d = np.linalg.solve(info + lam * np.diag(np.diag(info) + 1e-12), grad)
+        # Logarithms move by half at most: a long first step can leave a component at nothing, where its slope vanishes.
+        d = np.where(positive, np.clip(d, -0.5, 0.5), d)
         new = loglike(q + d)
         if np.isfinite(new) and new > best:
             small = new - best < 1e-10 * max(1.0, abs(best))
@@ -193,7 +196,4 @@ def fit_spectrum(freq: np.ndarray, power: np.ndarray, m: np.ndarray, kind: str =
             lam *= 5
             if lam > 1e14:
                 break
-    out = q.copy()
-    for i in {"constant": [0], "powerlaw": [0, 2], "lorentzian": [0, 2, 3]}[kind]:
-        out[i] = math.exp(q[i])
-    return out, best
+    return np.where(positive, np.exp(np.where(positive, q, 0.0)), q), best
