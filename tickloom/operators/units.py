@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import rough_energy
 from tickloom.operators.blocks import broadcast_if_small
-from tickloom.sources.tables import finite
+from tickloom.sources.tables import finite, with_checkpoints
 
 #: How many of each unit make one keV, and one second.
 ENERGY_UNITS = {"keV": 1.0, "eV": 1e3, "MeV": 1e-3, "GeV": 1e-6, "erg": 1.602176634e-9, "J": 1.602176634e-16}
@@ -116,7 +116,8 @@ def photon_energies(photons: DataFrame, observations: DataFrame) -> DataFrame:
     around = math.log10(4.0)
     x = seen.select(F.col("obs_id").alias("source"), (log - F.coalesce(F.when(usual > 0, F.log10(usual)), F.lit(around))).alias("x"), F.when(usual > 0, SPREAD).otherwise(0.8).alias("spread"))
     found = unit_of_sources(x, obs.select(F.col("obs_id").alias("source"), "unit"), ENERGY_UNITS)
-    told = obs.select("obs_id", "mission").join(found.withColumnRenamed("source", "obs_id"), "obs_id", "left")
+    with_checkpoints(photons.sparkSession)  # one row for each observation, else fitted for the count and again for the join
+    told = obs.select("obs_id", "mission").join(found.withColumnRenamed("source", "obs_id"), "obs_id", "left").checkpoint()
     full = rows.join(broadcast_if_small(told), "obs_id", "left")
     kev = in_common_units(finite("energy"), F.col("unit"), ENERGY_UNITS)
     known = rough_energy(F.col("pi"), F.col("mission"))
