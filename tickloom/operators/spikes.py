@@ -104,6 +104,26 @@ def _pass(y: np.ndarray, r: np.ndarray, use: np.ndarray) -> np.ndarray:
     return z
 
 
+def _levels(y: np.ndarray, good: np.ndarray, at: np.ndarray, sides: bool = False) -> np.ndarray:
+    """Median of the good readings around each of some positions, without itself; NaN elsewhere.
+
+    With ``sides`` that of either side counts as well, and the one closest to the reading is taken: next to a long gap in a
+    changing series only the near side shows the level.
+    """
+    out = np.full(len(y), np.nan)
+    for j in at:
+        left, right = np.searchsorted(good, j), np.searchsorted(good, j, side="right")
+        before, after = y[good[max(0, left - AROUND) : left]], y[good[right : right + AROUND]]
+        around = np.r_[before, after]
+        if not len(around):
+            continue
+        levels = [np.median(around)]
+        if sides:
+            levels += [np.median(x) for x in (before[-AROUND // 2 :], after[: AROUND // 2]) if len(x) == AROUND // 2]
+        out[j] = min(levels, key=lambda v: abs(y[j] - v))
+    return out
+
+
 def _suspects(groups: list[pd.DataFrame]) -> pd.DataFrame:
     kept = []
     for g in groups:
@@ -135,13 +155,12 @@ def _suspects(groups: list[pd.DataFrame]) -> pd.DataFrame:
         hot = np.zeros(m, bool)
         if m:
             hot = (np.abs(forward[i, :m]) > GATE) | (np.abs(backward[i, :m][::-1]) > GATE)
-        level = np.full(len(y), np.nan)
-        good, marked = clean[~hot], np.r_[clean[hot], np.flatnonzero(stuck)]
-        for j in marked:
-            at = np.searchsorted(good, j)
-            near = good[max(0, at - AROUND) : at + AROUND]
-            near = near if len(near) else np.setdiff1d(clean, [j])
-            level[j] = np.median(y[near]) if len(near) else np.nan
+        level = _levels(y, clean, clean[hot])
+        # Once more without what is far off, so that spikes next to each other don't hide one another. Candidates that turn
+        # out plausible, as behind a long gap in a changing series, stay among the readings that show the level.
+        floor = np.sqrt(np.maximum(level[clean[hot]], 0)).clip(1) if poisson else 0.0
+        far = np.abs(y[clean[hot]] - level[clean[hot]]) > LIMIT * np.maximum(scatter, floor)
+        level = _levels(y, np.setdiff1d(clean, clean[hot][far]), np.r_[clean[hot], np.flatnonzero(stuck)], sides=True)
         reason = np.where(cannot, "impossible", np.where(stuck, "frozen", ""))
         row = pd.DataFrame({"key": g["key"].to_numpy(), "reading_id": g["reading_id"].to_numpy(), "value": y, "counting": poisson, "level": level, "reason": reason, "scatter": scatter, "n_clean": m})
         pick = (cannot | stuck | ~np.isnan(level)) & g["own"].to_numpy(bool)
@@ -178,8 +197,8 @@ def implausible(readings: DataFrame) -> DataFrame:
 
     ``readings``: key, reading_id, t, value, counting (true: a Poisson series of whole counts).  A local-level Kalman
     filter runs over each source in both directions; readings whose standardised innovation passes the gate are withheld
-    from it and become candidates, and a candidate is a spike if it differs from the median of the unsuspected readings
-    around it by more than ten times the usual scatter of its source (of a counting source at least the root of that
+    from it and become candidates, and a candidate is a spike if it differs from the median of the readings around it (without
+    other spikes, and also from that of either side) by more than ten times the usual scatter of its source (of a counting source at least the root of that
     level, and 1).  Runs of equal values are frozen where chance can't explain them; their readings are withheld too.
     A reading is impossible if infinite, or in a counting source negative or not whole.
 
