@@ -9,6 +9,7 @@ from tickloom.functions.expr import phase, rough_energy, wrap_around_zero, wrap_
 from tickloom.operators import events as ev
 from tickloom.operators import folding, fourier, simulate
 from tickloom.operators import lightcurve as lc
+from tickloom.plans import timing
 from tickloom.streaming.light_curves import streaming_intervals, streaming_light_curve
 
 
@@ -150,3 +151,31 @@ def test_streams_match_batch(spark, tmp_path):
         got = {(r.start, r.counts) for r in spark.table(name).collect()}
         want = {(r.start, r.counts) for r in make(df).collect()}
         assert got <= want and len(got) >= len(want) - 1
+
+
+def _events_table(spark, tmp_path, n=80):
+    """An events table in a folder, and its times and values."""
+    rng = np.random.default_rng(6)
+    ms, y = rng.choice(2_592_000_000, n, replace=False), rng.gamma(2.0, 5.0, n)
+    df = spark.createDataFrame([(i, int(i), "click", int(m), float(v)) for i, (m, v) in enumerate(zip(ms, y))], "event_id long, user_id long, event_type string, ms long, value double")
+    ts = F.timestamp_millis(F.col("ms") + 1_704_067_200_000).cast("timestamp_ntz")
+    df.select("event_id", "user_id", "event_type", ts.alias("ts"), "value", F.lit('{"k": 1}').alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    return ms / 1000, y
+
+
+def test_all_detectors_are_concatenated(spark, tmp_path):
+    t, _ = _events_table(spark, tmp_path)
+    got = [tuple(r) for r in timing.concatenate_sorted(spark, str(tmp_path)).collect()]
+    assert got == sorted(((i, round(float(x), 6)) for i, x in enumerate(t)), key=lambda r: r[1])
+
+
+def test_lomb_scargle_of_all_events(spark, tmp_path):
+    t, y = _events_table(spark, tmp_path)
+    got = {r.i: r.power for r in timing.lomb_scargle(spark, str(tmp_path)).collect()}
+    d = y - y.mean()
+    for i in range(1, 31):
+        w = 2 * np.pi * i / 345_600.0
+        a = w * t - np.arctan2(np.sin(2 * w * t).sum(), np.cos(2 * w * t).sum()) / 2
+        power = ((d @ np.cos(a)) ** 2 / (np.cos(a) ** 2).sum() + (d @ np.sin(a)) ** 2 / (np.sin(a) ** 2).sum()) / (2 * y.var(ddof=1))
+        assert got[i] == pytest.approx(power, abs=2e-5)
+    assert len(got) == 30

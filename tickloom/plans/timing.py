@@ -150,7 +150,7 @@ def join_events_union(s, d):
 
 def concatenate_sorted(s, d):
     e = events(s, d)
-    rows = ev.concatenate([(e.where(F.col("detector_id") == i).select("event_id", "t"), 60310.0) for i in range(3)], 60310.0)
+    rows = ev.concatenate([(e.where(F.col("detector_id") == i).select("event_id", "t"), 60310.0) for i in range(4)], 60310.0)
     return _round(rows.orderBy("t", "event_id"), "t")
 
 
@@ -275,7 +275,7 @@ def time_lags(s, d):
 
 
 def lomb_scargle(s, d):
-    rows = events(s, d).where("detector_id = 1").select("t", F.col("energy").alias("y"))
+    rows = events(s, d).select("t", F.col("energy").alias("y"))
     freqs = [(i + 1) / (4 * DAY) for i in range(30)]
     return fourier.lomb_scargle(rows, freqs).select(F.round(F.col("freq") * 4 * DAY).cast("long").alias("i"), F.round("power", 5).alias("power"))
 
