@@ -128,6 +128,27 @@ def test_changes_across_blocks(spark, monkeypatch):
     assert got == {(3, "A", "retyped"), (4, "A", "renamed")}
 
 
+def test_one_rename_unifies_its_stream_only(spark, tmp_path, monkeypatch):
+    from tickloom.operators import drift
+    from tickloom.plans import problems
+
+    monkeypatch.setattr(drift, "BLOCK_FILES", 3)
+    names = ["INSTRUME"] * 3 + ["DETNAM"] * 4 + ["CAMERA"] * 5
+    data = [(i, "s", i + 1, json.dumps({n: "ccd", "EXPO": i})) for i, n in enumerate(names)]
+    # Another stream has both names for other things, and a field under a name that came back.
+    data += [(100 + i, "t", i + 1, json.dumps({"INSTRUME": "a", "DETNAM": "b"})) for i in range(3)]
+    data += [(200, "u", 1, '{"A": "x"}'), (201, "u", 2, '{"B": "x"}'), (202, "u", 3, '{"B": "x", "A": "y"}'), (203, "u", 4, '{"B": "x", "C": "y"}'), (300, None, 1, '{"DETNAM": "c"}'), (301, "s", None, '{"DETNAM": "d"}')]
+    spark.createDataFrame(data, "file_id long, stream_id string, seq_no int, header_json string").write.parquet(str(tmp_path / "file_header.parquet"))
+    got = {r.file_id: json.loads(r.header_fields) for r in problems.p5_table(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    assert all(len(got[i]) == 2 and got[i]["EXPO"] == str(i) for i in range(12))
+    one = {k for i in range(12) for k in got[i]} - {"EXPO"}
+    assert len(one) == 1 and all(got[i][min(one)] == "ccd" for i in range(12))
+    assert all(got[100 + i] == {"INSTRUME": "a", "DETNAM": "b"} for i in range(3))
+    assert got[200] == got[201] == {"A": "x"} and all(sorted(got[i].values()) == ["x", "y"] for i in (202, 203))
+    assert got[300] == {"DETNAM": "c"} and got[301] == {"DETNAM": "d"}
+
+
 def test_pairing():
     assert pair_renames({"RA": 1.0, "DEC": 1.0}, {"RA_OBJ": 1.0, "DEC_OBJ": 1.0}) in ([("DEC", "DEC_OBJ"), ("RA", "RA_OBJ")], [("RA", "RA_OBJ"), ("DEC", "DEC_OBJ")])
     assert pair_renames({"A": None}, {"B": None}) == []

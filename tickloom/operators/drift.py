@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from tickloom.operators.blocks import explode_range
+
 #: Files of one stream that are compared in one task, at most.
 BLOCK_FILES = 512
 #: Costs of an edit: a keyword or nested field added or removed, a changed value, a changed type.
@@ -203,7 +205,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
 def canonical_names(changes: DataFrame, support: int = 2, most: int = 10_000) -> dict[str, str]:
     """Name under which every renamed field goes in the consistent table: the alphabetically first of those it was renamed to or from.
 
-    Renames are counted over all files; pairs seen in fewer than ``support`` files are left apart.  The graph has one
+    Renames are counted over all files; pairs seen in fewer than ``support`` files are left
+    apart here, as they may be chance (stream_names has them for their own stream).  The graph has one
     node for each distinct keyword name, which is bounded by the vocabulary; more than ``most`` pairs raise an error.
     """
     pairs = changes.where("change_kind = 'renamed'").groupBy("field_name", "other_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).limit(most + 1).collect()
@@ -229,21 +232,113 @@ def canonical_names(changes: DataFrame, support: int = 2, most: int = 10_000) ->
     return {x: min(g, key=lambda y: (-weight.get(y, 0), y)) for g in groups.values() for x in g}
 
 
-def unified(files: DataFrame, names: dict[str, str]) -> DataFrame:
+SPANS = "stream string, chain bigint, name string, from_seq bigint, from_file bigint, to_seq bigint, to_file bigint"
+
+
+def _spans(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which chain of renames every name of a stream belongs to, and from which file until before which (null: no end).
+
+    Rows: the renames of whole streams in their order.  Held are the chains of one stream that have a name just then.
+    """
+    at, held, ended, n = None, {}, {}, 0
+
+    def closed():
+        return [(at, c, k, *begin, None, None) for k, (c, begin) in held.items()]
+
+    for part in parts:
+        out = []
+        for stream, seq, file_id, old, new in zip(part["stream"], part["seq"], part["file_id"], part["field_name"], part["other_name"]):
+            if stream != at:
+                out += closed()
+                at, held, ended, n = stream, {}, {}, 0
+            # A name that came back after it was renamed away is another field from there on.
+            chain, begin = held.pop(old, (None, ended.get(old, (None, None))))
+            if chain is None:
+                chain, n = n, n + 1
+            out.append((at, chain, old, *begin, seq, file_id))
+            ended[old] = (seq, file_id)
+            if new in held:
+                c, since = held.pop(new)
+                out.append((at, c, new, *since, seq, file_id))
+            held[new] = (chain, (seq, file_id))
+        yield _as_spans(out)
+    yield _as_spans(closed())
+
+
+def _as_spans(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["stream", "chain", "name", "from_seq", "from_file", "to_seq", "to_file"])
+    return out.astype({c: "Int64" for c in ("chain", "from_seq", "from_file", "to_seq", "to_file")})
+
+
+def stream_names(changes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Names of renamed fields in the files of their stream: every rename counts, in its stream and from its file on.
+
+    A field keeps its identity through all its renames, also over several (A to B, later B to C).  Its name in the table is
+    that of its names, taken through ``names``, which was most often renamed away from in all streams, then the
+    alphabetically first.  Renames of one stream are followed in one task; they are few beside its files.
+
+    Output: stream, name, target, from_seq, from_file (first file that has it; null from the beginning), to_seq, to_file
+    (first file behind; null without end).
+    """
+    renames = changes.where("change_kind = 'renamed'").select("stream", "seq", "file_id", "field_name", "other_name")
+    spans = renames.repartition("stream").sortWithinPartitions("stream", "seq", "file_id").mapInPandas(_spans, SPANS).checkpoint()
+    known = changes.sparkSession.createDataFrame([*names.items()], "name string, common string")
+    through = lambda df: df.join(F.broadcast(known), "name", "left").withColumn("common", F.coalesce("common", "name"))
+    away = through(renames.select(F.col("field_name").alias("name"))).groupBy("common").agg(F.count(F.lit(1)).alias("n"))
+    chosen = through(spans.select("stream", "chain", "name").distinct()).join(away, "common", "left")
+    chosen = chosen.groupBy("stream", "chain").agg(F.min(F.struct(-F.coalesce("n", F.lit(0)), "common"))["common"].alias("target"))
+    return spans.join(chosen, ["stream", "chain"]).select("stream", "name", "target", "from_seq", "from_file", "to_seq", "to_file")
+
+
+def _with_own_names(files: DataFrame, own: DataFrame) -> DataFrame:
+    """Files with ``renamed``, the map of the names that hold in that file of its stream.
+
+    Names are handed to the blocks of files they reach into, so that a block has those of its own files only.
+    """
+    block = lambda c: F.expr(f"{c} div {BLOCK_FILES}")
+    placed = files.withColumn("block", block("seq"))
+    w = Window.partitionBy("stream").orderBy("block")
+    blocks = placed.where("stream is not null and block is not null").select("stream", "block").distinct().withColumn("at", F.row_number().over(w))
+    edge = lambda b, at: blocks.select("stream", F.col("block").alias(b), F.col("at").alias(at))
+    own = own.withColumns({"b0": block("from_seq"), "b1": block("to_seq")}).join(edge("b0", "lo"), ["stream", "b0"], "left").join(edge("b1", "hi"), ["stream", "b1"], "left")
+    own = own.join(blocks.groupBy("stream").agg(F.max("at").alias("n")), "stream")
+    each = explode_range(own, F.coalesce("lo", F.lit(1)), F.coalesce("hi", "n"), "at").join(blocks, ["stream", "at"])
+    each = each.groupBy("stream", "block").agg(F.collect_list(F.struct("name", "target", "from_seq", "from_file", "to_seq", "to_file")).alias("own"))
+    here = F.struct("seq", "file_id")
+    holds = lambda r: (r["from_seq"].isNull() | (here >= F.struct(r["from_seq"], r["from_file"]))) & (r["to_seq"].isNull() | (here < F.struct(r["to_seq"], r["to_file"])))
+    names = F.map_from_entries(F.transform(F.filter("own", holds), lambda r: F.struct(r["name"], r["target"])))
+    return placed.join(each, ["stream", "block"], "left").withColumn("renamed", names).drop("own", "block")
+
+
+def unified(files: DataFrame, names: dict[str, str], own: DataFrame | None = None) -> DataFrame:
     """One consistent table: the edit scripts compiled into one projection that every file goes through.
 
+    ``own`` (stream_names) has the names that hold in some files of a stream only; they go before ``names``.  Where two
+    keywords of a file would have one name, that which has it already keeps it, then that of ``own``, and the other stays
+    under its own name: no value is lost.
+
     Output: file_id, stream, seq, fields (map of canonical keyword to text; strings as they are, other values as JSON).
     """
 
     @F.pandas_udf("map<string,string>")
-    def project(texts: pd.Series) -> pd.Series:
-        def one(t):
+    def project(texts: pd.Series, renamed: pd.Series) -> pd.Series:
+        def one(t, here):
+            here = dict(here) if here is not None else {}
             out = {}
-            for k, v in sorted((header(t) or {}).items()):
-                if v is not None:
-                    out.setdefault(names.get(k, k), v if isinstance(v, str) else json.dumps(v))
+            fields = {k: v for k, v in (header(t) or {}).items() if v is not None}
+            target = {k: here.get(k, names.get(k, k)) for k in fields}
+            for k in sorted(fields, key=lambda k: (target[k] != k, k not in here, k)):
+                name = target[k] if target[k] not in out else k
+                while name in out:
+                    name += "_"
+                out[name] = fields[k] if isinstance(fields[k], str) else json.dumps(fields[k])
             return out
 
-        return texts.map(one)
+        return pd.Series([one(t, h) for t, h in zip(texts, renamed)], dtype=object)
 
-    return files.dropDuplicates(["file_id"]).select("file_id", "stream", "seq", project("header_json").alias("fields"))
+    rows = files.select("file_id", "stream", F.col("seq").cast("long").alias("__seq"), "seq", "header_json").dropDuplicates(["file_id"])
+    if own is None:
+        rows = rows.withColumn("renamed", F.lit(None).cast("map<string,string>"))
+    else:
+        rows = _with_own_names(rows.withColumnsRenamed({"seq": "__as", "__seq": "seq"}), own).withColumnsRenamed({"seq": "__seq", "__as": "seq"})
+    return rows.select("file_id", "stream", "seq", project("header_json", "renamed").alias("fields"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.clocks import utc_instants
-from tickloom.operators.drift import canonical_names, schema_changes, unified
+from tickloom.operators.drift import canonical_names, schema_changes, stream_names, unified
 from tickloom.operators.grid import regular_grid, spacing_of_readings
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.operators.spikes import implausible
 from tickloom.operators.units import header_times, photon_energies
-from tickloom.sources.tables import finite, read_table
+from tickloom.sources.tables import finite, read_table, with_checkpoints
 
 
 def _cells(t0: str, t1: str, step: str) -> F.Column:
@@ -120,5 +120,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All headers in one consistent table, renamed keywords under one name."""
     files = _files(spark, sf_dir)
-    out = unified(files, canonical_names(schema_changes(files)))
+    changes = schema_changes(files)
+    with_checkpoints(spark)  # the changes are read three times
+    changes = changes.checkpoint()
+    names = canonical_names(changes)
+    out = unified(files, names, stream_names(changes, names))
     return out.select("file_id", F.col("stream").alias("stream_id"), F.col("seq").alias("seq_no"), F.to_json("fields").alias("header_fields"))
