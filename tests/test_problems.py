@@ -103,6 +103,17 @@ def test_unresolved_order_is_marked(spark):
     assert [tuple(r) for r in utc_instants(df, LEAPS, ["Europe/Rome"]).collect()] == [(1, None, "ambiguous")]
 
 
+def test_few_decisive_stamps_settle_the_order(spark):
+    stamp = lambda i, site, raw: (i, site, raw, None, None, "LOCAL", "Europe/Rome", None)
+    day = [stamp(i, "d", "03/04/2020 13:00" if i else "29/02/2020 13:00") for i in range(1000)]
+    month = [stamp(1000 + i, "m", "03/04/2020 13:00" if i else "02/29/2020 13:00") for i in range(10)]
+    mixed = [stamp(2000 + i, "b", ["29/02/2020 13:00", "02/29/2020 13:00", "03/04/2020 13:00"][i % 3]) for i in range(9)]
+    got = {r.stamp_id: (r.utc_ms, r.status) for r in utc_instants(spark.createDataFrame(day + month + mixed, STAMP), LEAPS, ["Europe/Rome"]).collect()}
+    assert {got[i] for i in range(1, 1000)} == {(1585911600000, "ok")}
+    assert {got[i] for i in range(1001, 1010)} == {(1583323200000, "ok")}
+    assert [got[2000 + i][1] for i in range(9)] == ["ok", "ok", "ambiguous"] * 3
+
+
 FILES = "file_id long, stream string, seq int, header_json string, fields int"
 
 

@@ -14,8 +14,8 @@ from tickloom.sources.tables import finite, with_checkpoints
 UNIX_MJD, JD_MJD = 40587, 2400000.5
 #: Terrestrial time less atomic time, in milliseconds.
 TT_TAI_MS = 32184
-#: Posterior from which one reading of an ambiguous form is taken, and rounds of expectation-maximisation.
-SURE, ROUNDS = 0.99, 25
+#: Posterior from which one reading of an ambiguous form is taken, and the least share of an order.
+SURE, LEAST_SHARE = 0.99, 1e-12
 #: Plausible years of a stamp.
 YEARS = (1980, 2100)
 
@@ -73,18 +73,31 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def _orders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Expectation-maximisation of the mixture of day-month orders of one source, from counts of equal evidence.
+    """Mixture of day-month orders of one source, from counts of equal evidence.
 
-    Each row: weights of a stamp under the two orders (0: not a date) and how many stamps have them.
+    Each row: weights of a stamp under the two orders (0: not a date) and how many stamps have them.  The share is the one
+    expectation-maximisation converges to: its step raises the share where the likelihood's slope is positive and lowers it
+    where that is negative, and the slope falls all along, so its zero is bisected down to neighbouring floats however few
+    stamps are decisive.  Without a decisive stamp every share is as likely, and it stays at a half.
     """
     w = pdf[["w_dmy", "w_mdy"]].to_numpy(float)
     n = pdf["n"].to_numpy(float)
-    share = np.array([0.5, 0.5])
-    for _ in range(ROUNDS):
-        like = w * share + 1e-300
-        post = like / like.sum(axis=1, keepdims=True)
-        share = (post * n[:, None]).sum(axis=0) / n.sum()
-    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "share_dmy": [share[0]], "share_mdy": [share[1]]})
+    apart = w[:, 0] - w[:, 1]
+
+    def slope(share: float) -> float:
+        return float(np.sum(n * apart / (w[:, 0] * share + w[:, 1] * (1 - share))))
+
+    share = 0.5
+    if apart.any():
+        low, high = LEAST_SHARE, 1 - LEAST_SHARE
+        if slope(high) >= 0:
+            share = high
+        elif slope(low) <= 0:
+            share = low
+        else:
+            while low < (share := (low + high) / 2) < high:
+                low, high = (share, high) if slope(share) > 0 else (low, share)
+    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "share_dmy": [share], "share_mdy": [1 - share]})
 
 
 def day_month_orders(stamps: DataFrame) -> DataFrame:
@@ -145,8 +158,8 @@ def utc_instants(stamps: DataFrame, leaps: list[tuple[int, int]], zones: list[st
 
     ``stamps``: stamp_id, source, raw, mjdref, timezero, system, zone, latest (timestamp after which it can't lie, or
     null).  ``leaps``: (MJD from which valid, TAI - UTC in seconds); ``zones``: the zone names that occur and exist.
-    Every text is parsed in all forms it may have.  Where two leading numbers leave day and month open, an
-    expectation-maximisation over the orders of each source weighs the parses: each stamp adds its likelihood under each
+    Every text is parsed in all forms it may have.  Where two leading numbers leave day and month open, a
+    mixture of the orders of each source, fitted to convergence, weighs the parses: each stamp adds its likelihood under each
     parse that gives a date, the posterior chooses, and below SURE the stamp stays marked as ambiguous.
 
     Output: stamp_id, utc_ms (null if no single instant), status: 'ok', 'ambiguous' (more than one instant is left),
