@@ -64,6 +64,26 @@ def test_long_source_in_blocks_as_in_one(spark):
     assert set(at) <= got and set(range(4090, 4098)) <= got and len(got) < 6 + 12
 
 
+def test_bursts_and_far_times_in_blocks(spark):
+    from tickloom.operators.spikes import BLOCK_ROWS, HALO_ROWS, with_blocks, with_halo
+
+    # All readings but the last in a burst: a frozen run lies four and four across a border, and spikes on either side of another.
+    rng = np.random.default_rng(9)
+    y = rng.poisson(300, 9001).astype(float)
+    edge = 2 * BLOCK_ROWS
+    y[edge - 4 : edge + 4] = 300
+    y[edge - 5], y[edge + 4] = 290, 290
+    at = [BLOCK_ROWS - 1, BLOCK_ROWS]
+    y[at] = 3000
+    t = np.r_[np.arange(9000) * 1e-3, 1e9]
+    df = spark.createDataFrame([("a", i, float(x), float(v), True) for i, (x, v) in enumerate(zip(t, y))], "key string, reading_id long, t double, value double, counting boolean")
+    got = {r.reading_id for r in implausible(df).collect()}
+    assert set(at) | set(range(edge - 4, edge + 4)) <= got and len(got) < 10 + 12
+    cut = with_halo(with_blocks(df)).groupBy("block").agg({"*": "count"}).collect()
+    last = 9001 - 4 * BLOCK_ROWS
+    assert {b: n for b, n in cut} == {0: BLOCK_ROWS + HALO_ROWS, **{b: BLOCK_ROWS + 2 * HALO_ROWS for b in (1, 2, 3)}, 4: last + HALO_ROWS}
+
+
 STAMP = "stamp_id long, source string, raw string, mjdref double, timezero double, system string, zone string, latest timestamp"
 LEAPS = [(51179, 32), (57204, 36), (57754, 37)]
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.tables import with_checkpoints
+
 
 def _plain(names: Sequence[str]) -> list[str]:
     return [*names]
@@ -58,3 +60,25 @@ def explode_range(df: DataFrame, first: Column, last: Column, out: str, chunk: i
 def broadcast_if_small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
     """Hint a broadcast if the side has at most ``most_rows`` rows, as counted; else leave the join to Spark (a shuffle)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, count: str) -> DataFrame:
+    """Position of every row along ``order`` within ``keys``, from 0 without holes, and the number of rows of its key.
+
+    Rows are spread by ranges of keys and order together and numbered inside each range; what the ranges before it hold of
+    a key is added.  So a hot key fills many tasks however its rows are distributed.  ``order`` has to be unique within
+    the keys.  The ranges are checkpointed.
+    """
+    keys = _plain(keys)
+    with_checkpoints(df.sparkSession)
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumn("__range", F.shiftright("__at", 33))
+    parts = rows.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__range").alias("__part"), "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(whole).alias(count))
+    on = F.col("__range") == F.col("__part")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    placed = rows.join(broadcast_if_small(parts), on).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before"))
+    return placed.drop("__at", "__range", "__part", "__first", "__before", *[f"__key{i}" for i in range(len(keys))])

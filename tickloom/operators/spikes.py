@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import blocked_running_sum
+from tickloom.operators.blocks import ranked
 from tickloom.sources.tables import with_checkpoints
 
 #: Readings of one source that are filtered together, and those of the neighbouring blocks that are seen besides.
@@ -25,31 +25,26 @@ MOVED = 8
 
 
 def with_blocks(rows: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
-    """Cut every key into blocks along t of about ``rows_each`` rows.
+    """Cut every key into blocks of ``rows_each`` rows along t and reading_id, numbered from 0; the last has the rest.
 
-    Keys up to that size are block 0.  Larger ones are counted in fine cells of time, and cells are packed into blocks, so
-    that a hot key is spread without sorting it in one task.
+    Output: besides the columns of ``rows``, block, up and down (rows of the block before and behind a row), last (whether
+    it is the key's last block).  A hot key is spread without sorting it in one task, however its times are distributed.
     """
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    large = size.where(F.col("n") > rows_each)
-    cell = F.least(F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.ceil(F.col("n") / rows_each) * 32), F.lit(2**50)).cast("long")
-    placed = rows.join(large, "key", "left").withColumn("cell", F.when(F.col("n").isNull() | (F.col("hi") <= F.col("lo")), F.lit(0)).otherwise(cell)).drop("lo", "hi")
-    counts = placed.where("n is not null").groupBy("key", "cell").agg(F.count(F.lit(1)).alias("c"))
-    packed = blocked_running_sum(counts, ["key"], "cell", "c", F.expr("cell div 4096"), "upto").select("key", "cell", F.expr(f"(upto - c) div {rows_each}").alias("block"))
-    return placed.join(packed, ["key", "cell"], "left").withColumn("block", F.coalesce("block", F.lit(0)).cast("long")).drop("cell", "n")
+    placed = ranked(rows, ["key"], ["t", "reading_id"], "__rank", "__n")
+    placed = placed.withColumns({"block": F.expr(f"__rank div {rows_each}"), "up": F.col("__rank") % rows_each, "last": F.expr(f"__rank div {rows_each} = (__n - 1) div {rows_each}")})
+    behind = F.when(F.col("last"), F.col("__n") - F.col("block") * rows_each).otherwise(F.lit(rows_each)) - 1 - F.col("up")
+    return placed.withColumn("down", behind).drop("__rank", "__n")
 
 
 def with_halo(rows: DataFrame, halo: int = HALO_ROWS) -> DataFrame:
     """Rows next to a border of blocks once more with the block beyond it, where own is false."""
-    w = Window.partitionBy("key", "block")
-    ranked = rows.withColumns({"__up": F.row_number().over(w.orderBy("t", "reading_id")), "__down": F.row_number().over(w.orderBy(F.desc("t"), F.desc("reading_id")))})
     none = F.lit(None).cast("long")
     to = F.array(
         F.struct(F.col("block").alias("b"), F.lit(True).alias("own")),
-        F.struct(F.when((F.col("__up") <= halo) & (F.col("block") > 0), F.col("block") - 1).otherwise(none).alias("b"), F.lit(False).alias("own")),
-        F.struct(F.when(F.col("__down") <= halo, F.col("block") + 1).otherwise(none).alias("b"), F.lit(False).alias("own")),
+        F.struct(F.when((F.col("up") < halo) & (F.col("block") > 0), F.col("block") - 1).otherwise(none).alias("b"), F.lit(False).alias("own")),
+        F.struct(F.when((F.col("down") < halo) & ~F.col("last"), F.col("block") + 1).otherwise(none).alias("b"), F.lit(False).alias("own")),
     )
-    return ranked.withColumn("__to", F.explode(to)).where("__to.b is not null").withColumns({"block": F.col("__to.b"), "own": F.col("__to.own")}).drop("__to", "__up", "__down")
+    return rows.withColumn("__to", F.explode(to)).where("__to.b is not null").withColumns({"block": F.col("__to.b"), "own": F.col("__to.own")}).drop("__to", "up", "down", "last")
 
 
 def _scatter(y: np.ndarray) -> float:
