@@ -179,3 +179,14 @@ def test_lomb_scargle_of_all_events(spark, tmp_path):
         power = ((d @ np.cos(a)) ** 2 / (np.cos(a) ** 2).sum() + (d @ np.sin(a)) ** 2 / (np.sin(a) ** 2).sum()) / (2 * y.var(ddof=1))
         assert got[i] == pytest.approx(power, abs=2e-5)
     assert len(got) == 30
+
+
+def test_all_files_of_an_instrument_in_order(spark, tmp_path):
+    rows = [(f"o{i:02d}", None if i % 4 == 0 else f"i{i % 4}", float((i * 7) % 10)) for i in range(40)]
+    spark.createDataFrame(rows + rows[:3], "obs_id string, instr string, tstart double").write.parquet(str(tmp_path / "observation.parquet"))
+    got = [tuple(r) for r in timing.instrument_files(spark, str(tmp_path)).collect()]
+    want = []
+    for k in (None, "i1", "i2", "i3"):
+        own = sorted((t, o) for o, instr, t in rows if instr == k)
+        want += [(k, len(own), n + 1, o) for n, (_, o) in enumerate(own)]
+    assert len(got) == 40 and set(got) == set(want)

@@ -18,7 +18,7 @@ from tickloom.functions.expr import phase, rough_energy, wrap_around_zero, wrap_
 from tickloom.operators import events as ev
 from tickloom.operators import candidates, folding, fourier, gti, simulate
 from tickloom.operators import lightcurve as lc
-from tickloom.operators.blocks import broadcast_if_small
+from tickloom.operators.blocks import broadcast_if_small, ranked
 from tickloom.operators.ingest import IngestOptions, fill_gaps, ingest, occultations
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.sources.sinks import xspec_rows
@@ -529,10 +529,9 @@ def pds_white_sub(s, d):
 
 
 def instrument_files(s, d):
-    """Observations of every instrument in order of their start."""
-    o = read_table(s, d, "observation").dropDuplicates(["obs_id"])
-    ranked = o.groupBy("instr").agg(F.sort_array(F.collect_list(F.struct("tstart", "obs_id"))).alias("x"))
-    return ranked.select("instr", F.size("x").alias("n_files"), F.concat_ws(",", F.slice(F.transform("x", lambda r: r["obs_id"]), 1, 5)).alias("first_files"))
+    """Every observation with its position in the order of its instrument by start, from 1, and the number of them."""
+    o = read_table(s, d, "observation").dropDuplicates(["obs_id"]).select("instr", "tstart", "obs_id")
+    return ranked(o, ["instr"], ["tstart", "obs_id"], "at", "n").select("instr", F.col("n").cast("int").alias("n_files"), (F.col("at") + 1).alias("position"), "obs_id")
 
 
 def observation_summary(s, d):
