@@ -1,6 +1,6 @@
 import random
 
-from tickloom.llm.residue import decide, features, fit, is_filler, is_trusted, residue_of_records, slots
+from tickloom.llm.residue import REPEATED, decide, features, fit, is_furniture, residue_of_records, slots, trusted_passages
 
 NOUNS = "bridge kettle lantern harbour museum ledger railway furnace orchard canal cellar valve survey pottery".split()
 MENU, FOOT = "Home | News | Help", "© 2020 www.a.example"
@@ -16,19 +16,20 @@ def page(*body):
 
 def corpus():
     rng = random.Random(1)
-    docs = [(i, page(sentence(rng), sentence(rng) + " " + sentence(rng)), 0) for i in range(300)]
+    docs = [(i, page(sentence(rng), sentence(rng) + " " + sentence(rng)), 404 if i % 50 == 0 else 200) for i in range(300)]
     bad = {}
 
-    def add(kind, *body):
-        docs.append((1000 + len(docs), page(*body), 0))
+    def add(kind, *body):  # noqa: B023
+        docs.append((1000 + len(docs), page(*body), 500 if kind and repeat % 2 else 200))
         bad[docs[-1][0]] = kind
 
-    for _ in range(5):
+    for repeat in range(8):
         add("replaced", "Page not found", "The address you asked for does not exist.")
         add("replaced", "Please enable JavaScript to continue.")
         add("replaced", "Your text goes here.", "Add a short description of your service.")
         add("replaced", "Lorem ipsum dolor sit amet labore tempora dolor ipsum sit.")
         add("replaced", "asdf asdf asdf asdf asdf asdf asdf asdf")
+        add("replaced", sentence(rng), "Your text goes here.", "asdf asdf asdf asdf asdf asdf asdf asdf")
         add("template", "{{title}}", sentence(rng))
         add("template", sentence(rng).replace("old", "{{ company }}").replace("club", "${name}"))
         add("template", sentence(rng).replace("museum", "%(city)s").replace("old", "[price]"))
@@ -42,7 +43,7 @@ def corpus():
 def test_records(spark):
     docs, bad = corpus()
     odd = [(None, None, 0), (7000, "", 0), (7001, "\n\n", 0), (7002, page(*[sentence(random.Random(2))] * 3000), 0)]
-    got = {r.doc_id: r.kind for r in residue_of_records(spark.createDataFrame(docs + odd, "doc_id long, text string, kind int")).collect()}
+    got = {r.doc_id: r.kind for r in residue_of_records(spark.createDataFrame(docs + odd, "doc_id long, text string, http_status int"), status="http_status").collect()}
     assert {i: got[i] for i in bad} == bad
     assert all(got[i] is None for i in list(range(300)) + [None, 7000, 7001, 7002])
 
@@ -53,6 +54,19 @@ def test_empty(spark):
 
 def test_pieces():
     assert slots("a {{ x_name }} b <%= city %> c %(who)s d [[Phone number]] \\frac{1}{n} {1..9}") == ["x_name", "city", "who", "phone number"]
-    assert is_filler("asdf " * 9, ["asdf"]) and not is_filler("The old bridge stood there", features("The old bridge stood there"))
-    assert is_trusted("404 - Not Found") and not is_trusted("The club explains what page not found means.")
+    assert REPEATED in features("asdf " * 9) and REPEATED not in features("The old bridge stood there by the old mill")
+    assert is_furniture("Home | News", ["home", "news"]) and not is_furniture("asdf " * 9, features("asdf " * 9))
     assert decide(None, fit([], []), fit([], [])) == (None, 0.0)
+
+
+def test_what_error_records_share_with_others_is_not_trusted():
+    usual, message = ["the", "old", "bridge", "stood"], ["nothing", "to", "see"]
+    got = trusted_passages([usual, message, message, [], ["unseen"]], [usual] * 50, 5, 50)
+    assert got.tolist() == [False, True, True, False, False]
+
+
+def test_misread_texts():
+    text = "Эта страница не найдена"
+    assert features(text.encode().decode("latin-1")) == features(text)
+    lost = text.encode().decode("cp1252", "replace")
+    assert "\ufffd" in lost and features(lost) == features(text)

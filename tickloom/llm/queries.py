@@ -44,7 +44,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with template residue or replaced content, and the kind."""
-    return residue_of_records(read_table(spark, sf_dir, "documents")).where("kind is not null").select("doc_id", F.col("kind").alias("residue_kind"))
+    return residue_of_records(read_table(spark, sf_dir, "documents"), status="http_status").where("kind is not null").select("doc_id", F.col("kind").alias("residue_kind"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus without them."""
-    return residue_of_records(read_table(spark, sf_dir, "documents")).where("kind is null").select("doc_id")
+    return residue_of_records(read_table(spark, sf_dir, "documents"), status="http_status").where("kind is null").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,25 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Bounds of the labelled sample that the classifier is fitted on: documents without and distinct passages with a label.
-SAMPLE_DOCS, SAMPLE_TRUSTED = 6000, 3000
-#: Passages of content among them that stand for what surrounds an unfilled slot.
-STANDINS = 8000
+#: Bounds of the sample that the classifiers are fitted on: documents at large, documents served with an error status, and
+#: characters up to which a document may be drawn (all documents are scored, and whole).
+SAMPLE_DOCS, SAMPLE_TRUSTED, SAMPLE_CHARS = 6000, 6000, 200_000
+#: HTTP status from which a record was served as an error.
+ERROR_STATUS = 400
 #: Share of known words from which a passage with a slot is first taken for unfilled.
 FAMILIAR = 0.8
-#: Rounds of expectation-maximisation, smoothing, posterior to be residue, words of a passage that shows content.
-ROUNDS, SMOOTH, SURE, CONTENT_WORDS = 12, 0.1, 0.5, 8
-
-#: Openings of passages that are error messages, script notices or filler wherever they stand as a passage
-#: of their own; these make the trusted records.
-TRUSTED = (
-    r"page not found|404 - not found|404 not found|the address you asked for|this entry has been moved|internal server error|\d{3} service unavailable|\d{3} forbidden|\d{3} bad gateway|error \d{3}$|access denied|application error|fatal error|something went wrong|too many requests|session expired|the server could not|we are having technical|traceback \(most recent call last\)|undefined index|call to a member function|file \"[^\"]+\", line \d+|sorry, nothing here|oops! we lost|exit code \d|you are not allowed|our team has been told|too many requests"
-    r"|seite nicht gefunden|unter dieser adresse|fehler \d{3}|der dienst|dienst nicht|es ist ein fehler|entschuldigung|zugriff verweigert|página no encontrada|no hemos encontrado|error del servidor|lo sentimos|el servicio|error \d{3}|page introuvable|erreur \d{3}|désolé|le service est|nous n'avons|une erreur|accès refusé|błąd \d{3}|przepraszamy|serwis jest chwilowo|nie znaleziono|strona nie|страница не найдена|ошибка \d{3}|извините|сервис временно|такой страницы|доступ запрещ"
-    r"|please enable javascript|this site requires javascript|your browser has scripting|scripting must be|checking your browser|bitte aktivieren sie javascript|ohne javascript|ce site ne fonctionne pas sans javascript|veuillez activer javascript|active javascript|esta aplicación necesita javascript|ta strona wymaga javascript|włącz obsługę javascript|включите javascript|для работы сайта нужен javascript"
-    r"|your text goes here|heading goes here|this is a sample paragraph|add a short description|content coming soon|just another demo post|tell visitors who you are|todo: |dies ist ein beispiel|hier steht ihr text|ceci est un|votre texte ici|titre d'exemple|título de muestra|beispieltitel|este es un párrafo de ejemplo|su texto aquí|to jest przykładowy|это пример|здесь будет|запрошенный адрес|lorem ipsum"
-)
-#: Pseudo-Latin filler: a passage most of whose words are of this kind is trusted too. Fixed values.
-LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor tempora incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure".split())
+#: Rounds of expectation-maximisation, smoothing, words of a passage that shows content.
+ROUNDS, SMOOTH, CONTENT_WORDS = 12, 0.1, 8
+#: Records that a word's rates are shrunk by, passages a word needs to vouch for residue, and how far one has to stand out.
+SHRINK, SUPPORT, LIFT = 20, 2, 2.0
+#: Feature of a passage of a few words over and over.
+REPEATED = "over and over"
+#: Log odds at which a passage is residue.
+SURE = 0.0
+
+#: A few passages that are residue in any corpus; the rest is learnt from records served as errors.
+SEEDS = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Please enable JavaScript to view this page.", "404 Not Found. The page you requested could not be found.", "500 Internal Server Error. Please try again later.", "Your text goes here."]
 
 _NAME = r"(?:[A-Za-z]+(?:[._ ][A-Za-z]+)+|[A-Za-z]{2,})"
 #: Syntaxes of template slots around a name of letters. Fixed values.
@@ -42,25 +41,41 @@ SLOT = re.compile(
 _WORD = re.compile(r"[^\W\d_]+")
 _RELATED = re.compile(r"^[^:/]{1,40}: [^/:]+( / [^:/]{1,40}: [^/:]+)*$")
 _END = re.compile(r"[.!?…。]['\")»]?\s*$")
+#: Code pages that UTF-8 is most often misread in.
+_PAGES = ("cp1252", "latin-1", "cp1251", "iso8859-2", "cp1250", "iso8859-15", "koi8-r")
+#: Letters that a misreading in cp1252 loses beyond repair (their bytes have no character there), and those that stand for them.
+_LOST = str.maketrans("сэяЁАН", "\x81\x81\x81\x90\x90\x90")
 
 
 def _repaired(text: str) -> str:
-    """UTF-8 that was read in another code page, read anew where the whole passage allows it."""
+    """UTF-8 that was read in another code page, read anew where the whole passage allows it.
+
+    Where characters were lost on the way, what the lost bytes may have been is one letter: words then still agree with
+    those of other texts, which get the same letter (see features).
+    """
     if text.isascii():
         return text
-    for page in ("cp1252", "latin-1", "cp1251"):
+    for page in _PAGES:
         try:
-            again = text.encode(page).decode("utf-8")
+            return text.encode(page).decode("utf-8")
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        return again
+    if "�" in text and ("Ð" in text or "Ñ" in text):
+        raw = b"".join(b"\x81" if c == "�" else c.encode("cp1252", "ignore") or c.encode("latin-1", "ignore") for c in text)
+        return raw.decode("utf-8", "ignore").replace("Ё", "\x90")
     return text
 
 
 def features(passage: str) -> list[str]:
-    """Words of a passage, once each; slots count as one word and by the case of their name."""
-    text = SLOT.sub(" ", _repaired(passage)).replace("\ufffd", "\u00ff").lower()
-    return list(dict.fromkeys(_WORD.findall(text)))
+    """Words of a passage, once each, and whether it is a few words over and over; slots are left out."""
+    text = _repaired(passage)
+    if not text.isascii():
+        text = text.translate(_LOST).replace("\x81", "с").replace("\x90", "а")
+    words = _WORD.findall(SLOT.sub(" ", text).lower())
+    out = list(dict.fromkeys(words))
+    if len(words) >= 6 and len(out) <= 0.3 * len(words):
+        out.append(REPEATED)
+    return out
 
 
 def slots(passage: str) -> list[str]:
@@ -82,6 +97,25 @@ class Bayes:
         return self.prior + sum(self.ratio.get(w, 0.0) for w in words)
 
 
+def trusted_passages(failed: list[list[str]], others: list[list[str]], n_failed: int, n_others: int) -> np.ndarray:
+    """Which passages of records served as errors are residue beyond doubt.
+
+    Some of these records show content nevertheless, and its words are as frequent in all other records.  So each word has
+    the log ratio of its rates by record, shrunk towards none, and counts for residue only if ``SUPPORT`` passages have it;
+    a passage is trusted where their sum is ``LIFT`` times the root of its words or more.
+    """
+    vocabulary: dict[str, int] = {}
+    for p in (*failed, *others):
+        for w in p:
+            vocabulary.setdefault(w, len(vocabulary))
+    count = lambda ps: np.bincount([vocabulary[w] for p in ps for w in p], minlength=len(vocabulary)).astype(float)
+    a, b = count(failed), count(others)
+    usual = (a + b) * SHRINK / max(n_failed + n_others, 1)
+    ratio = np.log((a + usual) / (n_failed + SHRINK)) - np.log((b + usual) / (n_others + SHRINK))
+    ratio = np.where(a >= SUPPORT, ratio, np.minimum(ratio, 0.0))
+    return np.array([bool(p) and ratio[[vocabulary[w] for w in p]].sum() >= LIFT * math.sqrt(len(p)) for p in failed], bool)
+
+
 def fit(trusted: list[list[str]], unlabelled: list[list[str]], rounds: int = ROUNDS, smooth: float = SMOOTH, familiar: float | None = None) -> Bayes:
     """Positive-unlabelled naive Bayes by expectation-maximisation.
 
@@ -119,60 +153,46 @@ def fit(trusted: list[list[str]], unlabelled: list[list[str]], rounds: int = ROU
     return Bayes(dict(zip(vocabulary, ratio.tolist())), prior)
 
 
-def is_filler(passage: str, words: list[str]) -> bool:
-    """Pseudo-Latin, or a few words over and over."""
-    if len(words) >= 5 and sum(w in LATIN for w in words) >= 0.3 * len(words):
-        return True
-    n = len(_WORD.findall(passage)) if 0 < len(words) <= 3 else 0
-    return n >= 6 and len(words) <= 0.3 * n
-
-
-_TRUSTED = re.compile(rf"^(?:{TRUSTED})", re.I)
-
-
-def is_trusted(passage: str) -> bool:
-    """A passage known to be an error message, a notice or filler."""
-    text = _repaired(passage.strip())
-    return len(text) < 200 and _TRUSTED.match(text) is not None or is_filler(text, features(text))
-
-
-def is_furniture(passage: str) -> bool:
-    """Menus, related links, footers and other lines without a sentence."""
+def is_furniture(passage: str, words: list[str]) -> bool:
+    """Menus, related links, footers and other lines without a sentence; a few words over and over are none of these."""
+    if REPEATED in words:
+        return False
     return not _END.search(passage) or _RELATED.match(passage.rstrip(".!?")) is not None
 
 
 def decide(text: str | None, residue: Bayes, template: Bayes) -> tuple[str | None, float]:
     """The kind of residue of a record, or none, and the log odds behind it.
 
-    A record is 'template' if a passage has slots and the template classifier takes it for unfilled; it is 'replaced' if
-    some passage is residue and no passage shows content.
+    A record is 'template' if a passage has slots and the template classifier takes it for unfilled.  It is 'replaced' if
+    at least as many sentences are residue as show content: a lead before filler doesn't make a page, nor does a notice
+    beside two passages of content replace it.  Without any content lines that aren't sentences count as well.
     """
     if not text:
         return None, 0.0
     lines = [x for x in (p.strip() for p in text.split("\n")) if x]
-    best = -math.inf
-    for line in lines:
-        names = slots(line)
-        if names:
-            best = max(best, 50.0 if is_placeholder(line, names) else template.score(template_features(line, names)))
-    if best > 0:
+    best = max((template.score(template_features(line, names)) for line in lines if (names := slots(line))), default=-math.inf)
+    if best > SURE:
         return "template", best
-    found = -math.inf
+    found, n_residue, n_content = -math.inf, 0, 0
+    loose = -math.inf
     for line in lines:
         words = features(line)
         if not words:
             continue
-        odds = 50.0 if is_filler(line, words) else residue.score(words)
-        if odds > math.log(SURE / (1 - SURE)):
-            if not _RELATED.match(line):
-                found = max(found, odds)
-        elif not is_furniture(line) and len(line.split()) >= CONTENT_WORDS:
-            return None, odds
-    return ("replaced", found) if found > -math.inf else (None, 0.0)
+        odds = residue.score(words)
+        if odds <= SURE:
+            n_content += not is_furniture(line, words) and len(line.split()) >= CONTENT_WORDS
+        elif not is_furniture(line, words):
+            found, n_residue = max(found, odds), n_residue + 1
+        elif not _RELATED.match(line):
+            loose = max(loose, odds)
+    if not n_content:
+        found = max(found, loose)
+    return ("replaced", found) if found > SURE and n_residue >= n_content else (None, 0.0)
 
 
 def is_placeholder(passage: str, names: list[str]) -> bool:
-    """A title that is a slot, and a passage with several slots, are placeholder records beyond doubt."""
+    """A title that is a slot, and a passage with several slots: trusted placeholder records for the fit."""
     return len(names) > 1 or (not features(passage) and names == ["title"])
 
 
@@ -182,45 +202,51 @@ def template_features(passage: str, names: list[str]) -> list[str]:
     return words or [f"alone:{n}" for n in dict.fromkeys(names)]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_trusted: int = SAMPLE_TRUSTED) -> tuple[Bayes, Bayes]:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_trusted: int = SAMPLE_TRUSTED, sample_chars: int = SAMPLE_CHARS) -> tuple[Bayes, Bayes]:
     """Classifiers of residue and of unfilled slots.
 
-    The trusted passages are looked for in all documents and the most frequent distinct ones are taken, at most
-    ``sample_trusted``; the unlabelled ones are those of about ``sample_docs`` documents that a hash of the id draws.  Both
-    bounds hold whatever the corpus; a document gives at most 100,000 characters to the sample (all texts are scored whole).
+    ``docs``: doc_id, text, status (null where unknown).  Trusted are the records served with an error status, about
+    ``sample_trusted`` of them, and the seeds; unlabelled are about ``sample_docs`` of the others.  A hash of the id draws
+    both, among documents of at most ``sample_chars`` characters, so that the driver's share is bounded whatever the corpus.
     """
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") < 2000)
-    sure = lines.where(F.col("line").rlike(rf"(?iu)^\s*(?:{TRUSTED})")).groupBy(F.trim(F.regexp_replace("line", r"\d+", "7")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
-    trusted = [r["line"] for r in sure.orderBy(F.desc("n"), "line").limit(sample_trusted).collect()]
-    share = sample_docs / max(docs.count(), sample_docs)
-    drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(share * 2**32)) & F.col("text").isNotNull())
-    pages = [text for _, text in sorted(tuple(r) for r in drawn.select(F.xxhash64("doc_id"), F.substring("text", 1, 100_000)).collect())]
-    plain, filled, slotted, proven = [], [features(x) for x in trusted], [], []
-    for page in pages:
+    failed = F.coalesce(F.col("status") >= ERROR_STATUS, F.lit(False))
+    n_failed, n_other = docs.agg(F.count_if(failed), F.count_if(~failed)).first()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**32))
+    share = lambda want, there: int(min(1.0, want / max(there, 1)) * 2**32)
+    drawn = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (place < F.when(failed, share(sample_trusted, n_failed)).otherwise(share(sample_docs, n_other))))
+    pages = sorted(tuple(r) for r in drawn.select(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), failed, "text").collect())
+    plain, noisy, slotted, proven = [], [], [], []
+    for _, bad, page in pages:
         for line in dict.fromkeys(page.split("\n")):
             names = slots(line)
             if names:
                 (proven if is_placeholder(line, names) else slotted).append(template_features(line, names))
-            elif is_filler(line, features(line)):
-                filled.append(features(line))
-            elif not is_furniture(line) and not is_trusted(line):
-                plain.append(features(line))
+            elif not is_furniture(line, words := features(line)):
+                (noisy if bad else plain).append(words)
+    n_bad = sum(bad for _, bad, _ in pages)
+    sure = trusted_passages(noisy, plain, n_bad, len(pages) - n_bad)
+    trusted = [features(x) for x in SEEDS] + [p for p, ok in zip(noisy, sure) if ok]
+    plain += [p for p, ok in zip(noisy, sure) if not ok]
+    residue = fit(trusted, plain)
     # Passages of content stand for the words around slots as well: a slot takes the place of a word in one of them.
-    return fit(filled, plain), fit(proven + plain[:STANDINS], slotted, familiar=FAMILIAR)
+    content = [p for p in plain if residue.score(p) <= SURE]
+    return residue, fit(proven + content, slotted, familiar=FAMILIAR)
 
 
-def residue_of_records(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_trusted: int = SAMPLE_TRUSTED) -> DataFrame:
+def residue_of_records(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_trusted: int = SAMPLE_TRUSTED, status: str | None = None) -> DataFrame:
     """Kind of residue of every record: 'template', 'replaced' or null, and its log odds.
 
-    ``docs``: doc_id, text.  Two positive-unlabelled naive Bayes classifiers are fitted by expectation-maximisation from
-    trusted records; all passages (lines) of all texts are scored, and a record is decided from its passages (see decide).
+    ``docs``: doc_id, text, and ``status``, the name of the column of HTTP status codes if there is one.  Two
+    positive-unlabelled naive Bayes classifiers are fitted by expectation-maximisation from trusted records; all passages
+    (lines) of all texts are scored, and a record is decided from its passages (see decide), whatever its status.
     Null and empty texts have no residue; ids may be null or repeat, rows are kept.  Output: doc_id, kind, score.
     """
-    residue, template = train(docs, sample_docs, sample_trusted)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast(StringType()).alias("text"), (F.col(status) if status else F.lit(None)).cast("int").alias("status"))
+    residue, template = train(rows, sample_docs, sample_trusted)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [decide(t, residue, template) for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "kind": pd.Series([k for k, _ in found], dtype=object), "score": [round(s, 3) for _, s in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast(StringType()).alias("text")).mapInPandas(score, "doc_id bigint, kind string, score double")
+    return rows.select("doc_id", "text").mapInPandas(score, "doc_id bigint, kind string, score double")
