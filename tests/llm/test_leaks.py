@@ -46,6 +46,19 @@ def test_shuffled_path_is_the_same(spark):
     assert {tuple(r) for r in leaked_items(a, b).collect()} == {tuple(r) for r in leaked_items(a, b, most_sent=3).collect()}
 
 
+def test_containment(spark, monkeypatch):
+    from tickloom.llm import leaks
+
+    words = [f"v{i}" for i in range(40)]
+    items = [("long", " ".join(words), 0), ("short", "one two three four five six", 0), ("one", "alone", 0)]
+    docs = [(1, "x " + " ".join(words[3:18]) + " y " + " ".join(words[25:38]), 0), (2, "so one two three four five six alone", 0), (3, " ".join(words), 0)]
+    want = {(1, "long", 4, round((11 + 9) / 36, 6)), (2, "short", 1, 1.0), (2, "one", 1, 1.0), (3, "long", 28, 1.0)}
+    for most, indexed in ((100, 1000), (3, 0)):
+        monkeypatch.setattr(leaks, "MOST_INDEXED", indexed)
+        got = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), most_sent=most).collect()
+        assert {tuple(r) for r in got} == want
+
+
 def test_empty(spark):
     docs, items = cases()
     assert leaked_items(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0

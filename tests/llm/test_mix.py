@@ -1,6 +1,8 @@
 import pytest
 
+from tickloom.llm import mix
 from tickloom.llm.mix import mixture, sainte_lague, shares, token_counter
+from tickloom.llm.queries import VOCABULARY
 
 DOCS, TARGETS = "doc_id long, source string, n_tokens long, target_share int", "source string, target_share double, max_repeats int"
 
@@ -38,6 +40,21 @@ def test_shares_and_caps(spark):
     assert rows and sorted(map(tuple, mixture(df, targets, block_tokens=500, shard_tokens=8000).collect())) == sorted(map(tuple, rows))
 
 
+def test_blocks_are_equal_and_quotas_are_met(spark):
+    # One document is longer than many blocks, and the small source has to go round its ring to its cap.
+    docs = [(i, "a", 40 + i % 9, 0) for i in range(2000)] + [(9000, "a", 7000, 0)] + [(10_000 + i, "b", 30 + i % 7, 0) for i in range(200)]
+    df, targets = spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.8, 2), ("b", 0.2, 3)], TARGETS)
+    got = {r.source: r for r in shares(mixture(df, targets, block_tokens=100, shard_tokens=20_000), df, targets).collect()}
+    most = 3 * got["b"].available_tokens
+    assert most - 200 <= got["b"].used_tokens <= most and abs(got["b"].actual_share - 0.2) < 0.01 and got["b"].max_copies == 3
+
+
+def test_too_many_sources_raise(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixture(spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert mixture(none, spark.createDataFrame([("a", 1.0, 1)], TARGETS)).count() == 0
@@ -46,5 +63,5 @@ def test_empty(spark):
 
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id int, text string")
-    got = {r.id: r.n for r in df.select("id", token_counter()("text").alias("n")).collect()}
+    got = {r.id: r.n for r in df.select("id", token_counter(VOCABULARY)("text").alias("n")).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1

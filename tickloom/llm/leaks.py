@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 #: Words in a row that make a leak, and words of a shingle.
 PASSAGE, SHINGLE = 13, 5
-#: Fingerprints of test passages up to which they are sent to all executors (8 bytes each) to drop others at the scan.
-MOST_SENT = 4_000_000
+#: Fingerprints of test passages up to which they are sent to all executors (8 bytes each) to drop others at the scan, and
+#: passages up to which their words are.
+MOST_SENT, MOST_INDEXED = 2_000_000, 200_000
+#: Parts of the documents that a passage is joined with separately.
+SALTS = 16
 #: Letters with strokes and ligatures that Unicode doesn't decompose.
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "æ": "ae", "œ": "oe", "þ": "th"})
 _MARKS = re.compile(r"[̀-ͯ­​-‍⁠﻿]+")
@@ -79,26 +82,22 @@ def window_minima(hashes: np.ndarray, size: int) -> np.ndarray:
     return _mix(least[:m] + np.uint64(size))
 
 
-def _windows(words: list[str], hashes: np.ndarray, sizes: list[int], wanted: np.ndarray | None) -> list[tuple[int, str]]:
-    """(fingerprint, passage) of the windows of one text whose fingerprint is wanted."""
-    out = {}
-    for size in sizes:
-        minima = window_minima(hashes, size)
-        if wanted is not None and len(minima):
-            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, minima), len(wanted) - 1)] == minima)
-        else:
-            at = range(len(minima))
-        for i in at:
-            out[" ".join(words[i : i + size])] = int(minima[i].view(np.int64))
-    return [(fp, gram) for gram, fp in out.items()]
-
-
 def _sizes_of(n: int) -> int:
+    """Size class of an item of n words."""
     return min(n, PASSAGE)
 
 
+def _batch(columns: list[list], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], [*fields])
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """Passages of the test items by size class: item_id, size, fp, gram. An item without words has none."""
+    """Passages of the test items by size class: item_id, size, n_shingles, at, fp, gram. An item without words has none.
+
+    ``size`` is the class of the item: 13, or its words if it has fewer; ``n_shingles`` those of the whole item, ``at`` the
+    first word of the passage.
+    """
+    fields = {"item_id": pa.string(), "size": pa.int32(), "n_shingles": pa.int32(), "at": pa.int32(), "fp": pa.int64(), "gram": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
@@ -108,67 +107,91 @@ def item_windows(items: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if words:
                     size = _sizes_of(len(words))
-                    rows += [(item, size, fp, gram) for fp, gram in _windows(words, hasher(words), [size], None)]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string()))], ["item_id", "size", "fp", "gram"])
+                    n = len(words) - min(SHINGLE, size) + 1
+                    rows += [(item, size, n, i, fp, " ".join(words[i : i + size])) for i, fp in enumerate(window_minima(hasher(words), size).view(np.int64).tolist())]
+            yield _batch(list(zip(*rows)) if rows else [[]] * 6, fields)
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, size int, fp bigint, gram string")
+    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, size int, n_shingles int, at int, fp bigint, gram string")
 
 
-def corpus_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Windows of the documents for each size class: doc_id, fp, gram; with ``wanted`` only those of these fingerprints.
+def _scan(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, words_too: bool) -> DataFrame:
+    """Windows of the documents for each size class: doc_id, fp, and gram if asked for.
 
-    Whole texts are read, a batch at a time: the words of all texts of a batch are hashed into one array, so that the
-    minima of all its windows are a few vector operations.
+    With ``wanted`` (sorted) only those of these fingerprints, else the distinct ones of each document, of which windows
+    next to each other mostly share theirs.  Whole texts are read, a batch at a time: the words of all texts of a batch are
+    hashed into one array, so that the minima of all its windows are a few vector operations.
     """
+    fields = {"doc_id": pa.int64(), "fp": pa.int64()} | ({"gram": pa.string()} if words_too else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for b in batches:
-            ids, rows = b.column("doc_id").to_pylist(), []
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [words_of(t) for t in b.column("text").to_pylist()]
             starts = np.cumsum([0] + [len(t) for t in texts])
             every = [w for t in texts for w in t]
             hashes = hasher(every)
+            found: list[list] = [[] for _ in fields]
             for size in sizes:
                 minima = window_minima(hashes, size)
-                if not len(minima):
+                if not len(minima) or (wanted is not None and not len(wanted)):
                     continue
                 if wanted is not None:
-                    if not len(wanted):
-                        continue
                     at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, minima), len(wanted) - 1)] == minima)
                 else:
                     at = np.arange(len(minima))
                 doc = np.searchsorted(starts, at, side="right") - 1
                 inside = at + size <= starts[doc + 1]
-                for i, d in zip(at[inside].tolist(), doc[inside].tolist()):
-                    rows.append((ids[d], int(minima[i].view(np.int64)), " ".join(every[i : i + size])))
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], ["doc_id", "fp", "gram"])
+                at, doc = at[inside], doc[inside]
+                if not words_too:
+                    pairs = np.unique(np.stack([doc, minima[at].view(np.int64)], 1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+                    doc, fps = pairs[:, 0], pairs[:, 1]
+                else:
+                    fps = minima[at].view(np.int64)
+                    found[2] += [" ".join(every[i : i + size]) for i in at.tolist()]
+                found[0] += ids[doc].tolist()
+                found[1] += fps.tolist()
+            yield _batch(found, fields)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint, gram string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id bigint, fp bigint" + (", gram string" if words_too else ""))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """Documents that hold at least 13 consecutive words of a test item, or all of one that is shorter.
 
-    ``docs``: doc_id, text; ``items``: item_id, text.  Items are partitioned by size: passages of 13 words, and for shorter
-    items a class for each length.  Every passage has the MinHash of its five-word shingles; a document's windows of the
-    same sizes have theirs, so that an equal passage always has an equal minimum, however long the document: candidate
-    search by the minimum loses nothing.  Candidates are verified by their words.
-
-    Where the fingerprints of all items are at most ``most_sent``, they go to the executors and windows without a partner
-    never leave the scan; beyond that the windows are joined by shuffle.  Null and empty texts hold nothing; items
-    without words are never found; repeated rows and passages give one row.  Output: doc_id, item_id, n_passages.
+    ``docs``: doc_id, text; ``items``: item_id, text.  MinHash containment search: the short side is partitioned by size
+    (passages of 13 words, and for shorter items a class for each length), and each passage is indexed by the MinHash of
+    its five-word shingles.  A document is searched by the windows of each size: a window that has all shingles of a
+    passage in order has its minimum, however long the document, so that candidates lose nothing.  They are verified
+    by their words, and ``containment`` is the exact share of the item's shingles in the passages found.
+
+    Where the distinct fingerprints of all items are at most ``most_sent`` (8 bytes each, counted first), they go to the
+    executors and windows without a partner never leave the scan.  Beyond that the distinct fingerprints of each document,
+    about a fifth of its words, are joined with the items' by shuffle, without texts, and only documents that share one are
+    read again.  Both ways give the same rows.  Null and empty texts hold nothing; null ids are left out; items without
+    words are never found; repeated rows and passages give one row.  Output: doc_id, item_id, n_passages, containment.
     """
-    grams = item_windows(items).dropDuplicates(["item_id", "gram"])
-    known = grams.select("fp", "size").distinct().limit(most_sent + 1).collect()
-    wanted = None
-    sizes = sorted({r["size"] for r in known})
-    if len(known) <= most_sent:
-        wanted = np.unique(np.array([r["fp"] for r in known], np.int64).view(np.uint64))
+    grams = item_windows(items).groupBy("item_id", "gram").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("size", "n_shingles", "fp")])
+    fingerprints = grams.select("fp").distinct()
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
+    if fingerprints.count() <= most_sent:
+        wanted = np.unique(fingerprints.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
+        found = _scan(docs, sizes, wanted, True)
+    else:
+        # Salted by the document, so that a passage that stands in very many of them is many tasks.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        shared = _scan(docs, sizes, None, False).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(fingerprints.select("fp", salts), ["fp", "salt"], "left_semi")
+        candidates = docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+        found = _scan(candidates, sizes, None, True)
+    found = found.distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    index = grams.select("item_id", "size", "n_shingles", "at", "fp", "gram")
+    if index.count() <= MOST_INDEXED:
+        pairs = found.join(F.broadcast(index), ["fp", "gram"])
     else:
-        sizes = list(range(1, PASSAGE + 1))
-    found = corpus_windows(docs, sizes, wanted)
-    return found.join(grams.select("item_id", "fp", "gram"), ["fp", "gram"]).groupBy("doc_id", "item_id").agg(F.countDistinct("gram").alias("n_passages"))
+        pairs = found.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "gram", "salt"])
+    # Shingles in the item's passages found: each of them covers those that begin within it; overlaps count once.
+    spans = pairs.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_passages"), F.max("n_shingles").alias("n"), F.array_sort(F.collect_set("at")).alias("at"), F.max("size").alias("size"))
+    wide = F.greatest(F.col("size") - (SHINGLE - 1), F.lit(1))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda i: F.least(F.get("at", i) - F.get("at", i - 1), wide))
+    covered = wide + F.when(F.size("at") > 1, F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    return spans.select("doc_id", "item_id", "n_passages", F.round(F.least(covered / F.col("n"), F.lit(1.0)), 6).alias("containment"))

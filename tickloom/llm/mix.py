@@ -13,31 +13,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Folder of the public tokenizers' files, the vocabulary used, and how it splits text before merging.
-TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+#: How the vocabulary splits text before merging. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a block and, about, of a shard; the driver gets one number for each shard and source.
-BLOCK_TOKENS, SHARD_TOKENS = 2048, 2**26
+BLOCK_TOKENS, SHARD_TOKENS = 512, 2**26
+#: Sources that may be listed; more raise an error, as the driver holds their quotas.
+MOST_SOURCES = 100_000
 
-_encodings: dict[str, object] = {}
+_encodings: dict[int, object] = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+def token_counter(path: str):
+    """A column function that counts the tokens of a text by the vocabulary file ``path``; null counts 0.
 
-
-def token_counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
-    """A column function that counts the tokens of a text; null counts 0."""
+    The file (about a megabyte) is read once on the driver and goes to the executors with the function.
+    """
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
     @F.pandas_udf(LongType())
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(f"{folder}/{vocabulary}").encode_ordinary
+        import tiktoken
+
+        encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for texts in parts:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
@@ -83,38 +81,43 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: i
     ``docs``: doc_id, source, n_tokens; ``targets``: source, target_share, max_repeats.  The mixture is as large as the
     caps allow: the number of equal-token blocks is the most at which no source with documents has to repeat more often
     than max_repeats.  Blocks are allocated to sources by the highest quotients (Sainte-Laguë), then in the same way
-    to the shards of each source.  In a shard documents are in an order given by the seed and cut into blocks; all
-    blocks are used as often as the quota fills the shard, and the first ones of a seeded rotation once more.
+    to the shards of each source.  The documents of a shard lie in a ring of tokens in an order given by the seed, and a
+    shard's quota is a stretch of whole blocks along it: all documents as often as it goes round, and once more those whose
+    middle lies in its rest.  Documents aren't cut, so a shard is off its quota by half a document at most.
 
     Sources are compared without case and blanks; documents of a null or unlisted source, null ids and documents without
     tokens are left out; a listed source without documents gets nothing and the others keep their proportions; a repeated
-    doc_id counts once; without any usable source the result is empty.  ``targets`` is one row for each source.
-    Output: doc_id, source, n_tokens, n_copies (1 at least).
+    doc_id counts once; without any usable source the result is empty.  ``targets`` is one row for each source, at most
+    ``MOST_SOURCES``, else an error is raised.  Output: doc_id, source, n_tokens, n_copies (1 at least).
     """
     docs = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")).where("doc_id is not null and n_tokens > 0").dropDuplicates(["doc_id"])
-    listed = {r[0]: (r[1], r[2]) for r in targets.groupBy(F.lower(F.trim("source"))).agg(F.max("target_share"), F.max("max_repeats")).limit(100_000).collect() if r[0] is not None and r[1] and r[1] > 0 and r[2] and r[2] > 0}
-    have = {r[0]: r[1] for r in docs.groupBy("source").agg(F.sum("n_tokens")).where(F.col("source").isin(list(listed)) if listed else F.lit(False)).collect()}
+    rows = targets.groupBy(F.lower(F.trim("source"))).agg(F.max("target_share"), F.max("max_repeats")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources are listed")
+    listed = {r[0]: (r[1], r[2]) for r in rows if r[0] is not None and r[1] and r[1] > 0 and r[2] and r[2] > 0}
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame([(s,) for s in listed], "source string"))
+    have = {r[0]: r[1] for r in docs.join(known, "source").groupBy("source").agg(F.sum("n_tokens")).collect()}
     names = sorted(have)
-    n_shards = {s: max(1, round(have[s] / shard_tokens)) for s in names}
-    shards_of = F.try_element_at(F.create_map(*[F.lit(x) for s in names for x in (s, n_shards[s])]), F.col("source")) if names else F.lit(None).cast("int")
-    rows = docs.where(F.col("source").isin(names) if names else F.lit(False)).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), shards_of).cast("int"))
+    shards = F.broadcast(spark.createDataFrame([(s, max(1, round(have[s] / shard_tokens))) for s in names], "source string, shards int"))
+    rows = docs.join(shards, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
     place = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("block", F.floor(F.coalesce(F.sum("n_tokens").over(place), F.lit(0)) / block_tokens).cast("long"))
-    sizes = [tuple(r) for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), (F.max("block") + 1).alias("blocks")).collect()]
+    rows = rows.withColumn("middle", F.coalesce(F.sum("n_tokens").over(place), F.lit(0)) + F.expr("n_tokens div 2"))
+    sizes: dict[str, list[tuple[int, int]]] = {s: [] for s in names}
+    for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).collect():
+        sizes[r["source"]].append((r["shard"], r["tokens"]))
     quota: list[tuple[str, int, int, int]] = []
     whole = sum(listed[s][0] for s in names)
     if names:
-        caps = {s: sum(max(1, t // block_tokens) for n, _, t, _ in sizes if n == s) * listed[s][1] for s in names}
-        total = max(1, int(min(caps[s] / (listed[s][0] / whole) for s in names)))
-        for s, seats in zip(names, sainte_lague([listed[s][0] for s in names], total, [caps[s] for s in names])):
-            own = [x for x in sizes if x[0] == s]
-            for (_, shard, _, blocks), q in zip(own, sainte_lague([x[2] for x in own], seats, [x[3] * listed[s][1] for x in own])):
-                quota.append((s, shard, q, blocks))
-    spark = docs.sparkSession
-    quotas = spark.createDataFrame(quota, "source string, shard int, quota long, blocks long")
-    out = rows.join(quotas, ["source", "shard"])
-    turned = F.pmod(F.col("block") + F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.col("blocks")), F.col("blocks"))
-    copies = F.expr("quota div blocks") + (turned < F.expr("quota % blocks")).cast("long")
+        caps = {s: [t * listed[s][1] // block_tokens for _, t in sorted(sizes[s])] for s in names}
+        total = int(min(sum(caps[s]) / (listed[s][0] / whole) for s in names))
+        for s, seats in zip(names, sainte_lague([listed[s][0] for s in names], total, [sum(caps[s]) for s in names])):
+            own = sorted(sizes[s])
+            for (shard, tokens), q in zip(own, sainte_lague([t for _, t in own], seats, caps[s])):
+                quota.append((s, shard, q * block_tokens, tokens))
+    out = rows.join(F.broadcast(spark.createDataFrame(quota, "source string, shard int, quota long, tokens long")), ["source", "shard"])
+    turned = F.pmod(F.col("middle") + F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.col("tokens")), F.col("tokens"))
+    copies = F.expr("quota div tokens") + (turned < F.expr("quota % tokens")).cast("long")
     return out.select("doc_id", "source", "n_tokens", copies.alias("n_copies")).where("n_copies > 0")
 
 

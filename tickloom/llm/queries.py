@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.leaks import leaked_items
 from tickloom.llm.mix import mixture, shares, token_counter
 from tickloom.llm.residue import residue_of_records
+from tickloom.llm.sql import SQL
 from tickloom.sources.tables import read_table, with_checkpoints
 
+#: Vocabulary file of a public tokenizer: what the mixture counts tokens by.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked items of every document, with the number of passages."""
+    """Leaked items of every document, with the number of passages and the share of the item's shingles in them."""
     items = read_table(spark, sf_dir, "eval_item").select("item_id", F.col("item_text").alias("text"))
     return leaked_items(read_table(spark, sf_dir, "documents"), items)
 
@@ -27,7 +31,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their tokens; written once, as later steps read it several times."""
     with_checkpoints(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", token_counter()("text").alias("n_tokens"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", token_counter(VOCABULARY)("text").alias("n_tokens"))
     return docs.checkpoint()
 
 
@@ -64,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the name of the query."""
-    return {}
+    return SQL
