@@ -25,6 +25,28 @@ def test_grid_marks_and_fills(spark):
     assert empty["b", 0] is None and len(got) == 63
 
 
+def test_grid_finds_the_season(spark):
+    value = lambda k: 5 + 0.02 * k + 4 * math.sin(2 * math.pi * k / 30)
+    gap = set(range(100, 125))
+    rows = [(s, 1000 * n + k, k + 0.5, value(k), 0) for n, s in enumerate("ab") for k in range(240) if k not in gap]
+    src = spark.createDataFrame([("a", 0.0, 1.0, 240, False, None), ("b", 0.0, 1.0, 240, False, 30.0)], SRC + ", season double")
+    got = [r for r in regular_grid(spark.createDataFrame(rows, READ), src).collect() if not r.filled]
+    assert {(r.key, r.cell_no) for r in got} == {(s, k) for s in "ab" for k in gap} and {r.origin for r in got} == {"predicted"}
+    assert max(abs(r.value - value(r.cell_no)) for r in got) < 0.05
+
+
+def test_grid_needs_its_regression(spark, tmp_path):
+    from tickloom.plans import problems
+
+    spark.createDataFrame([("a", 1, 0.5, 1.0, 1.0), ("a", 2, 3.5, 2.0, 1.0)], "series_id string, reading_id long, bin_time double, counts double, dt double").write.parquet(str(tmp_path / "lightcurve.parquet"))
+    spark.createDataFrame([("a", 1.0, 0.0, 5.0)], "series_id string, timedel double, tstart double, tstop double").write.parquet(str(tmp_path / "lc_series.parquet"))
+    spark.createDataFrame([], "obs_id string, event_id long, event_time double").write.parquet(str(tmp_path / "photon.parquet"))
+    spark.createDataFrame([("o", 0.0, 2.0, 1.0)], "obs_id string, tstart double, tstop double, bin_dt double").write.parquet(str(tmp_path / "observation.parquet"))
+    found = problems.p1_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("a", 1), ("a", 2), ("a", 4), ("o", 0), ("o", 1)}
+    assert "coef" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_grid_counts_and_empty_tables(spark):
     src = spark.createDataFrame([("a", 0.0, 1.0, 3, True)], SRC)
     got = regular_grid(spark.createDataFrame([("a", 1, 0.2, 1.0, 0), ("a", 2, 0.7, 1.0, 0), ("a", 2, 0.7, 1.0, 0)], READ), src).collect()

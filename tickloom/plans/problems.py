@@ -37,12 +37,12 @@ def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     photons = read_table(spark, sf_dir, "photon").select(F.col("obs_id").alias("key"), F.col("event_id").alias("reading_id"), F.col("event_time").alias("t"), F.lit(1.0).alias("value"))
     observed = read_table(spark, sf_dir, "observation").select(F.col("obs_id").alias("key"), F.col("tstart").alias("t0"), F.col("bin_dt").alias("step"), _cells("tstart", "tstop", "bin_dt").alias("n_cells"), F.lit(True).alias("counting"))
     grid = regular_grid(rows.drop("dt").unionByName(photons), _series_sources(spark, sf_dir, rows).unionByName(observed))
-    return grid.select(F.col("key").alias("series_key"), "cell_no", F.round("value", 6).alias("cell_value"), "filled", "n_readings")
+    return grid.select(F.col("key").alias("series_key"), "cell_no", F.round("value", 4).alias("cell_value"), "filled", "n_readings", "origin")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The empty cells of p1_grid."""
-    return p1_grid(spark, sf_dir).where("not filled").select("series_key", "cell_no")
+    """The empty cells of p1_grid: those that got a prediction, and those of sources without any reading."""
+    return p1_grid(spark, sf_dir).where("origin = 'unknown' or (origin = 'predicted' and cell_value is not null)").select("series_key", "cell_no")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

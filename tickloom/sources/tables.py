@@ -17,12 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Make sure checkpoint() can be used.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``, and that is used.  Only where neither the setting nor
-    the context has one (tests on one machine) a temporary folder is made.
+    A cluster names its shared folder in ``spark.checkpoint.dir``, and that is used.  Where neither the setting nor the
+    context has one, a session on a single machine (tests) gets a temporary folder and any other an error: executors
+    would write where the others can't read.
     """
     ctx = spark.sparkContext
     if ctx._jsc.sc().getCheckpointDir().isEmpty():
-        ctx.setCheckpointDir(ctx.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tickloom-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
+        if not folder and not (ctx.master == "local" or ctx.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        ctx.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tickloom-checkpoints"))
     return spark
 
 
