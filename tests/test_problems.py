@@ -216,6 +216,22 @@ def test_energies(spark):
     assert got[3].unit == "MeV" and got[3].sure and got[2].unit == "eV"
 
 
+def test_two_units_in_one_observation(spark):
+    obs = spark.createDataFrame([("h", "xmm", "keV", None), ("w", None, None, None)], "obs_id string, mission string, energy_unit string, remark string")
+    ph = [(i, "h", 1000 + i, (1.0 + i / 1000) * (1000 if i % 2 else 1)) for i in range(400)] + [(1000, "w", 5, None), (1001, "w", 5, 40.0), (1002, "h", 500, 500.0)]
+    got = {r.event_id: r for r in photon_energies(spark.createDataFrame(ph, "event_id long, obs_id string, pi int, energy double"), obs).collect()}
+    assert all(got[i].sure and abs(got[i].energy_kev - (1.0 + i / 1000)) < 1e-9 for i in range(400))
+    assert got[1001].energy_kev is None and not got[1001].sure and got[1002].energy_kev == 0.5
+
+
+def test_mixture_shares():
+    from tickloom.functions.kernels import mixture_shares
+
+    assert abs(mixture_shares(np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([1, 10**6])) - [1, 0]).max() < 1e-9
+    assert abs(mixture_shares(np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]), np.array([30, 10, 5])) - [0.75, 0.25]).max() < 1e-9
+    assert mixture_shares(np.array([[1.0, 1.0]]), np.array([7])).tolist() == [0.5, 0.5] and mixture_shares(np.zeros((0, 3)), np.zeros(0)).sum() == 1
+
+
 def test_header_times(spark):
     rows = [(1, 1.0, 2.0, "d", None, 80000.0), (2, 0.0, 90.0, None, "minutes since reference", None), (3, 0.0, 1.0, None, None, 3500.0), (4, None, 1.0, "s", None, None), (5, 0.0, 1.0, None, "quick look", None)]
     got = {r.file_id: (r.unit, r.duration_s) for r in header_times(spark.createDataFrame(rows, "file_id long, start double, stop double, time_unit string, comment string, livetime double")).collect()}

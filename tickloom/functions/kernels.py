@@ -197,3 +197,33 @@ def fit_spectrum(freq: np.ndarray, power: np.ndarray, m: np.ndarray, kind: str =
             if lam > 1e14:
                 break
     return np.where(positive, np.exp(np.where(positive, q, 0.0)), q), best
+
+
+def mixture_shares(weights: np.ndarray, counts: np.ndarray, rounds: int = 2000, least: float = 1e-12) -> np.ndarray:
+    """Shares of a mixture's components that expectation-maximisation converges to.
+
+    ``weights``: rows (values of equal evidence) by components, the likelihood of a value under each; ``counts``: values of
+    each row.  A step multiplies every share by its mean posterior over its share; steps are lengthened as long as the
+    likelihood grows, so that shares that go to nothing get there in a few of them.  Rows without weight tell nothing.
+    """
+    k = weights.shape[1]
+    shares = np.full(k, 1.0 / k)
+    kept = weights.max(axis=1) > 0
+    weights, counts = weights[kept] / weights[kept].max(axis=1, keepdims=True), counts[kept].astype(float)
+    if not counts.sum():
+        return shares
+    like = lambda s: float(counts @ np.log(weights @ s))
+    at, power = like(shares), 1.0
+    for _ in range(rounds):
+        gain = (counts / (weights @ shares)) @ weights / counts.sum()
+        moved = np.maximum(shares * np.maximum(gain, 1e-300) ** power, least)
+        moved /= moved.sum()
+        new = like(moved)
+        if power > 1 and new < at:
+            power = 1.0
+            continue
+        done = np.abs(moved - shares).max() < 1e-13
+        shares, at, power = moved, new, power * 2
+        if done:
+            break
+    return shares

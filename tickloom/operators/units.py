@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import kernels
 from tickloom.functions.expr import rough_energy
 from tickloom.operators.blocks import broadcast_if_small
 from tickloom.sources.tables import finite, with_checkpoints
@@ -20,10 +22,15 @@ TIME_UNITS = {"s": 1.0, "ms": 1e3, "us": 1e6, "ks": 1e-3, "min": 1 / 60, "h": 1
 ENERGY_WORDS = {"keV": "kev|kiloelectron ?volts?", "eV": "ev|electron ?volts?", "MeV": "mev|megaelectron ?volts?", "GeV": "gev|gigaelectron ?volts?", "erg": "ergs?", "J": "j|joules?"}
 TIME_WORDS = {"s": "s|sec|secs|seconds?|sekunden|secondes", "ms": "ms|msec|milliseconds?|millisekunden", "us": "us|usec|microseconds?", "ks": "ks|ksec|kiloseconds?|kilosekunden", "min": "min|mins|minutes?|minuten", "h": "h|hr|hrs|hours?|stunden|heures?", "d": "d|days?|tagen?|jours?"}
 
-#: Width of a component of the log-scale mixture and of the histogram's bins, in decades; rounds; posterior to be sure.
-SPREAD, BIN, ROUNDS, SURE = 0.25, 0.05, 20, 0.99
+#: Widths of a component of the log-scale mixture in decades: against a calibrated energy, against the usual one, and against
+#: a live time; width of the histogram's bins; posterior to be sure.
+SPREAD, WIDE, NARROW, BIN, SURE = 0.25, 0.8, 0.1, 0.05, 0.99
+#: Values of each unit that a source may have beside those seen.
+UNSEEN = 0.5
 #: Prior weight of a declared unit against any of the others.
 DECLARED = 1e4
+#: Usual energy of a photon in keV.
+USUAL_KEV = 4.0
 
 
 def named_unit(text: Column, words: dict[str, str], whole: bool) -> Column:
@@ -33,58 +40,46 @@ def named_unit(text: Column, words: dict[str, str], whole: bool) -> Column:
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
 
 
-def _mixture(units: dict[str, float]):
-    names = list(units)
-    centres = np.log10(np.array(list(units.values())))
+def _weight(k: int, centres: Sequence[float], unit: str, x: Column, spread: Column, declared: Column) -> Column:
+    """Likelihood of a value under a unit, relative to a declared one; 1 for all units where the value tells nothing."""
+    off = (x - centres[k]) / spread
+    return F.coalesce(F.exp(F.greatest(-0.5 * off * off, F.lit(-600.0))), F.lit(1.0)) * F.when(declared == unit, DECLARED).otherwise(1.0)
 
-    @F.pandas_udf("struct<unit: string, posterior: double>")
-    def fit(bins: pd.Series, declared: pd.Series, spread: pd.Series) -> pd.DataFrame:
-        out = []
-        for rows, said, wide in zip(bins, declared, spread):
-            x = np.array([r["x"] for r in rows], float)
-            n = np.array([r["n"] for r in rows], float)
-            prior = np.ones(len(names))
-            if said in names:
-                prior[names.index(said)] = DECLARED
-            prior /= prior.sum()
-            share = prior.copy()
-            if len(x):
-                like = -0.5 * ((x[:, None] - centres) / wide) ** 2
-                for _ in range(ROUNDS):
-                    post = like + np.log(share + 1e-300)
-                    post = np.exp(post - post.max(axis=1, keepdims=True))
-                    post /= post.sum(axis=1, keepdims=True)
-                    share = (post * n[:, None]).sum(axis=0) + prior
-                    share /= share.sum()
-                total = (like * n[:, None]).sum(axis=0) + np.log(prior)
-                total = np.exp(total - total.max())
-                share = total / total.sum()
-            elif said not in names:
-                out.append((None, 0.0))
-                continue
-            k = int(np.argmax(share))
-            out.append((names[k], float(share[k])))
-        return pd.DataFrame(out, columns=["unit", "posterior"])
-
-    return fit
-
-
-def unit_of_sources(ratios: DataFrame, declared: DataFrame, units: dict[str, float]) -> DataFrame:
-    """The unit of every source, with its posterior and whether that is sure.
-
-    ``ratios``: source, x (log10 of a value over what it should be in the common unit), spread (width of a component in
-    decades; wide where only the population is known).  ``declared``: source, unit (null where none is named).  For each
-    source a mixture in log scale is fitted whose components are offset by the known conversion factors; a declared unit
-    is a prior.  Values are first counted in bins of x, so that a source is as many rows as it has bins.
-    Output: source, unit (null if nothing is known), posterior, sure.
+
+def unit_of_values(values: DataFrame, units: dict[str, float]) -> DataFrame:
+    """The unit of every value by its posterior in a mixture fitted to its source.
+
+    ``values``: source, x (log10 of a value over what it should be in the common unit; null where it tells nothing), spread
+    (width of a component in decades; wide where only the population is known), declared (unit named for the value, or null)
+    and any other columns.  For each source a mixture in log scale is fitted by expectation-maximisation, whose components
+    are offset by the known conversion factors; a declared unit is a prior.  Values are first counted in bins of x, so that
+    a source is as many rows as it has bins.  Adds unit (the likeliest; null where nothing is known) and posterior.
     """
-    binned = ratios.where(finite("x").isNotNull()).groupBy("source", F.round(F.col("x") / BIN).alias("b"), "spread").agg(F.count(F.lit(1)).alias("n"))
-    hist = binned.groupBy("source").agg(F.collect_list(F.struct((F.col("b") * BIN).alias("x"), "n")).alias("bins"), F.max("spread").alias("spread"))
-    named = declared.groupBy("source").agg(F.max("unit").alias("unit"))
-    empty = F.array().cast("array<struct<x: double, n: bigint>>")
-    both = named.join(hist, "source", "full").select("source", F.coalesce("bins", empty).alias("bins"), "unit", F.coalesce("spread", F.lit(SPREAD)).alias("spread"))
-    found = both.select("source", _mixture(units)("bins", "unit", "spread").alias("f"))
-    return found.select("source", "f.unit", "f.posterior", (F.col("f.posterior") >= SURE).alias("sure"))
+    names, centres = [*units], [math.log10(v) for v in units.values()]
+    x = F.round(F.col("x") / BIN) * BIN
+    weights = F.array(*[_weight(k, centres, u, F.col("b"), F.col("spread"), F.col("declared")) for k, u in enumerate(names)])
+    counted = values.where("source is not null").select("source", x.alias("b"), "spread", "declared").groupBy("source", "b", "spread", "declared").agg(F.count(F.lit(1)).alias("n"))
+    hist = counted.groupBy("source").agg(F.collect_list(F.struct(weights.alias("w"), "n")).alias("bins"))
+
+    @F.pandas_udf("array<double>")
+    def fit(bins: pd.Series) -> pd.Series:
+        out = []
+        for rows in bins:
+            n = np.array([r["n"] for r in rows])
+            shares = kernels.mixture_shares(np.stack([r["w"] for r in rows]), n)
+            out.append(((shares * n.sum() + UNSEEN) / (n.sum() + UNSEEN * len(names))).tolist())
+        return pd.Series(out, dtype=object)
+
+    with_checkpoints(values.sparkSession)
+    shares = hist.select("source", fit("bins").alias("shares")).checkpoint()  # counted, and read by the join
+    rows = values.join(broadcast_if_small(shares), "source", "left")
+    own = F.array(*[_weight(k, centres, u, F.col("x"), F.col("spread"), F.col("declared")) * F.get("shares", F.lit(k)) for k, u in enumerate(names)])
+    rows = rows.withColumn("__w", own)
+    top = F.array_max("__w")
+    unit = F.get(F.array(*[F.lit(u) for u in names]), (F.array_position("__w", top) - 1).cast("int"))
+    posterior = top / F.aggregate("__w", F.lit(0.0), lambda a, w: a + w)
+    known = F.col("x").isNotNull() | F.col("declared").isNotNull() | (F.array_max("shares") >= SURE)
+    return rows.withColumns({"unit": F.when(known, unit), "posterior": F.when(known, posterior)}).drop("__w", "shares")
 
 
 def in_common_units(value: Column, unit: Column, units: dict[str, float]) -> Column:
@@ -98,44 +93,47 @@ def in_common_units(value: Column, unit: Column, units: dict[str, float]) -> Col
 def photon_energies(photons: DataFrame, observations: DataFrame) -> DataFrame:
     """Photon energies in keV.
 
-    ``photons``: event_id, obs_id, pi, energy; ``observations``: obs_id, mission, energy_unit, remark.  The unit of an
-    observation comes from energy_unit, else from words of its remark, as priors of a log-scale mixture of the recorded
-    energies over those of the rough calibration of their channels; where the mission is unknown, over the usual energy
-    of all photons with a known one.  A null energy is calibrated from its channel where the mission is known.
+    ``photons``: event_id, obs_id, pi, energy; ``observations``: obs_id, mission, energy_unit, remark.  Every energy gets the
+    unit of its posterior in its observation's mixture of units (see unit_of_values), of the recorded energies over those of
+    the rough calibration of their channels; where the mission is unknown, over the usual energy of all photons.  A unit
+    named in energy_unit, else by words of the remark, is a prior.  A null energy is calibrated from its channel where the
+    mission is known.
 
-    Output: event_id, obs_id, energy_kev, unit, sure, from_channel.  NaN and infinite energies and photons of unknown
-    observations give null; observations that are sure of no unit have sure = false and are converted by the likeliest.
-    Missions are compared without case and blanks around; repeated rows give repeated rows.
+    Output: event_id, obs_id, energy_kev, unit (the likeliest), sure, from_channel.  Energies whose unit isn't sure (a
+    posterior below SURE) are withheld: energy_kev is null and sure false.  NaN and infinite energies and photons of unknown
+    observations give null.  Energies of zero or less have no logarithm and take their observation's unit if that is
+    one.  Missions are compared without case and blanks around; repeated rows give repeated rows.
     """
-    unit = F.coalesce(named_unit(F.col("energy_unit"), ENERGY_WORDS, True), named_unit(F.col("remark"), ENERGY_WORDS, False))
-    obs = observations.select("obs_id", F.lower(F.trim("mission")).alias("mission"), unit.alias("unit")).dropDuplicates(["obs_id"])
-    rows = photons.select("event_id", "obs_id", "pi", F.col("energy").cast("double").alias("energy"))
-    seen = rows.join(broadcast_if_small(obs.select("obs_id", "mission")), "obs_id")
-    usual = rough_energy(F.col("pi"), F.col("mission"))
-    log = F.when(finite("energy") > 0, F.log10("energy"))
-    around = math.log10(4.0)
-    x = seen.select(F.col("obs_id").alias("source"), (log - F.coalesce(F.when(usual > 0, F.log10(usual)), F.lit(around))).alias("x"), F.when(usual > 0, SPREAD).otherwise(0.8).alias("spread"))
-    found = unit_of_sources(x, obs.select(F.col("obs_id").alias("source"), "unit"), ENERGY_UNITS)
-    with_checkpoints(photons.sparkSession)  # one row for each observation, else fitted for the count and again for the join
-    told = obs.select("obs_id", "mission").join(found.withColumnRenamed("source", "obs_id"), "obs_id", "left").checkpoint()
-    full = rows.join(broadcast_if_small(told), "obs_id", "left")
-    kev = in_common_units(finite("energy"), F.col("unit"), ENERGY_UNITS)
+    declared = F.coalesce(named_unit(F.col("energy_unit"), ENERGY_WORDS, True), named_unit(F.col("remark"), ENERGY_WORDS, False))
+    with_checkpoints(photons.sparkSession)
+    obs = observations.select("obs_id", F.lower(F.trim("mission")).alias("mission"), declared.alias("declared")).where("obs_id is not null").dropDuplicates(["obs_id"])
+    rows = photons.select("event_id", "obs_id", "pi", F.col("energy").cast("double").alias("energy")).join(broadcast_if_small(obs.withColumn("source", F.col("obs_id"))), "obs_id", "left")
     known = rough_energy(F.col("pi"), F.col("mission"))
-    return full.select("event_id", "obs_id", F.when(F.col("energy").isNull(), known).otherwise(kev).alias("energy_kev"), "unit", "sure", F.col("energy").isNull().alias("from_channel"))
+    usual = F.when(known > 0, F.log10(known))
+    x = F.when(finite("energy") > 0, F.log10("energy")) - F.coalesce(usual, F.lit(math.log10(USUAL_KEV)))
+    found = unit_of_values(rows.withColumns({"x": x, "spread": F.when(usual.isNotNull(), SPREAD).otherwise(WIDE)}), ENERGY_UNITS)
+    sure = F.coalesce(F.col("posterior") >= SURE, F.lit(False))
+    kev = F.when(sure, in_common_units(finite("energy"), F.col("unit"), ENERGY_UNITS))
+    return found.select("event_id", "obs_id", F.when(F.col("energy").isNull(), known).otherwise(kev).alias("energy_kev"), "unit", sure.alias("sure"), F.col("energy").isNull().alias("from_channel"))
 
 
 def header_times(headers: DataFrame) -> DataFrame:
     """Start and stop of files in seconds.
 
-    ``headers``: file_id, start, stop, time_unit, comment, livetime (seconds).  The unit comes from time_unit, else from
-    words of the comment, as priors of a mixture over the files of the log ratio of the duration to the live time, which
-    is below it and near it.  Output: file_id, start_s, stop_s, duration_s, unit, sure; null where a bound or unit is unknown.
+    ``headers``: file_id, start, stop, time_unit, comment, livetime (seconds), and source if files share their habits (else
+    all files are one source).  Every file gets the unit of its posterior in its source's mixture of units (see
+    unit_of_values), of the log ratio of the duration to the live time, which is below it and near it; a unit named in
+    time_unit, else by words of the comment, is a prior.
+
+    Output: file_id, start_s, stop_s, duration_s, unit (the likeliest), sure.  Times whose unit isn't sure are withheld
+    (null, sure false); they are null too where a bound is.  A repeated file_id counts once; null ids are left out.
     """
-    unit = F.coalesce(named_unit(F.col("time_unit"), TIME_WORDS, True), named_unit(F.col("comment"), TIME_WORDS, False))
-    rows = headers.select("file_id", finite("start").alias("start"), finite("stop").alias("stop"), unit.alias("named"), finite("livetime").alias("livetime")).dropDuplicates(["file_id"])
+    declared = F.coalesce(named_unit(F.col("time_unit"), TIME_WORDS, True), named_unit(F.col("comment"), TIME_WORDS, False))
+    source = F.coalesce(F.col("source"), F.lit("")) if "source" in headers.columns else F.lit("")
+    rows = headers.select("file_id", source.alias("source"), finite("start").alias("start"), finite("stop").alias("stop"), declared.alias("declared"), finite("livetime").alias("livetime")).where("file_id is not null").dropDuplicates(["file_id"])
     span = F.col("stop") - F.col("start")
-    x = rows.select(F.col("file_id").alias("source"), F.when((span > 0) & (F.col("livetime") > 0), F.log10(span / F.col("livetime"))).alias("x"), F.lit(SPREAD).alias("spread"))
-    found = unit_of_sources(x, rows.select(F.col("file_id").alias("source"), F.col("named").alias("unit")), TIME_UNITS).withColumnRenamed("source", "file_id")
-    out = rows.join(found, "file_id", "left")
-    to = {k: in_common_units(c, F.col("unit"), TIME_UNITS) for k, c in (("start_s", F.col("start")), ("stop_s", F.col("stop")), ("duration_s", F.col("stop") - F.col("start")))}
-    return out.select("file_id", *[c.alias(k) for k, c in to.items()], "unit", "sure")
+    x = F.when((span > 0) & (F.col("livetime") > 0), F.log10(span / F.col("livetime")))
+    found = unit_of_values(rows.withColumns({"x": x, "spread": F.lit(NARROW)}), TIME_UNITS)
+    sure = F.coalesce(F.col("posterior") >= SURE, F.lit(False))
+    to = {k: F.when(sure, in_common_units(c, F.col("unit"), TIME_UNITS)) for k, c in (("start_s", F.col("start")), ("stop_s", F.col("stop")), ("duration_s", F.col("stop") - F.col("start")))}
+    return found.select("file_id", *[c.alias(k) for k, c in to.items()], "unit", sure.alias("sure"))

@@ -96,7 +96,7 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, stop and duration of all files in seconds, with the unit found."""
     h = lambda k: F.try_element_at("h", F.lit(k))
-    rows = header_fields(spark, sf_dir).select("file_id", h("TSTART").try_cast("double").alias("start"), h("TSTOP").try_cast("double").alias("stop"), h("TIMEUNIT").alias("time_unit"), h("COMMENT").alias("comment"), h("LIVETIME").try_cast("double").alias("livetime"))
+    rows = header_fields(spark, sf_dir).select("file_id", F.col("stream_id").alias("source"), h("TSTART").try_cast("double").alias("start"), h("TSTOP").try_cast("double").alias("stop"), h("TIMEUNIT").alias("time_unit"), h("COMMENT").alias("comment"), h("LIVETIME").try_cast("double").alias("livetime"))
     return header_times(rows)
 
 
