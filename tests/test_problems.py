@@ -75,35 +75,44 @@ def test_spikes_frozen_impossible(spark):
     assert sorted((r.reading_id, r.reason) for r in got) == sorted([(50, "spike"), (51, "spike"), (120, "spike"), (30, "impossible"), (31, "impossible"), (32, "impossible"), (2077, "spike"), (9004, "impossible"), *((i, "frozen") for i in range(200, 210))])
 
 
-def test_long_source_in_blocks_as_in_one(spark):
+def test_blocks_of_any_size_give_the_same(spark):
+    from tickloom.operators.spikes import BLOCK_ROWS
+
     rng = np.random.default_rng(5)
-    y = rng.poisson(300, 6000).astype(float)
-    at = [3, 2047, 2048, 2049, 4100, 5999]
+    y = rng.poisson(300, 9000).astype(float)
+    at = [3, 511, 512, 2047, 2048, 2049, 4100, 8999]
     y[at] = 3000
-    y[4090:4098] = 300
-    df = spark.createDataFrame([("a", i, float(i), float(v), True) for i, v in enumerate(y)], "key string, reading_id long, t double, value double, counting boolean")
-    got = {r.reading_id for r in implausible(df).collect()}
-    assert set(at) <= got and set(range(4090, 4098)) <= got and len(got) < 6 + 12
+    y[4090:4098], y[508:511] = 300, 301
+    few = rng.poisson(0.2, 3000).astype(float)
+    few[700:1500] = 0
+    gauss = np.cumsum(rng.normal(0, 0.3, 5000)) + rng.normal(0, 1, 5000)
+    gauss[2000:3500] = gauss[2000]
+    gauss[100] += 60
+    data = [(k, 10_000 * i + j, float(j), float(v), k != "g") for i, (k, x) in enumerate((("a", y), ("f", few), ("g", gauss))) for j, v in enumerate(x)]
+    df = spark.createDataFrame(data, "key string, reading_id long, t double, value double, counting boolean")
+    got = [{tuple(r) for r in implausible(df, size).collect()} for size in (512, 2048, BLOCK_ROWS, 100_000)]
+    assert got[0] == got[1] == got[2] == got[3]
+    ids = {r[1] for r in got[0]}
+    assert set(at) | set(range(4090, 4098)) | set(range(22_000, 23_500)) | {20_100} <= ids and len({i for i in ids if i < 10_000}) < 20
 
 
 def test_bursts_and_far_times_in_blocks(spark):
-    from tickloom.operators.spikes import BLOCK_ROWS, HALO_ROWS, with_blocks, with_halo
+    from tickloom.operators.spikes import with_blocks, with_halo
 
     # All readings but the last in a burst: a frozen run lies four and four across a border, and spikes on either side of another.
     rng = np.random.default_rng(9)
     y = rng.poisson(300, 9001).astype(float)
-    edge = 2 * BLOCK_ROWS
+    edge = 4096
     y[edge - 4 : edge + 4] = 300
     y[edge - 5], y[edge + 4] = 290, 290
-    at = [BLOCK_ROWS - 1, BLOCK_ROWS]
+    at = [2047, 2048]
     y[at] = 3000
     t = np.r_[np.arange(9000) * 1e-3, 1e9]
-    df = spark.createDataFrame([("a", i, float(x), float(v), True) for i, (x, v) in enumerate(zip(t, y))], "key string, reading_id long, t double, value double, counting boolean")
-    got = {r.reading_id for r in implausible(df).collect()}
+    df = spark.createDataFrame([("a", i, float(x), float(v), True) for i, (x, v) in enumerate(zip(t, y))] * 2, "key string, reading_id long, t double, value double, counting boolean")
+    got = {r.reading_id for r in implausible(df, 2048).collect()}
     assert set(at) | set(range(edge - 4, edge + 4)) <= got and len(got) < 10 + 12
-    cut = with_halo(with_blocks(df)).groupBy("block").agg({"*": "count"}).collect()
-    last = 9001 - 4 * BLOCK_ROWS
-    assert {b: n for b, n in cut} == {0: BLOCK_ROWS + HALO_ROWS, **{b: BLOCK_ROWS + 2 * HALO_ROWS for b in (1, 2, 3)}, 4: last + HALO_ROWS}
+    cut = with_halo(with_blocks(df.dropDuplicates(["reading_id"]), 2048), 2048, 100).groupBy("block").agg({"*": "count"}).collect()
+    assert {b: n for b, n in cut} == {0: 2148, **{b: 2248 for b in (1, 2, 3)}, 4: 9001 - 4 * 2048 + 100}
 
 
 STAMP = "stamp_id long, source string, raw string, mjdref double, timezero double, system string, zone string, latest timestamp"
