@@ -201,9 +201,9 @@ def test_one_rename_unifies_its_stream_only(spark, tmp_path, monkeypatch):
     data += [(100 + i, "t", i + 1, json.dumps({"INSTRUME": "a", "DETNAM": "b"})) for i in range(3)]
     data += [(200, "u", 1, '{"A": "x"}'), (201, "u", 2, '{"B": "x"}'), (202, "u", 3, '{"B": "x", "A": "y"}'), (203, "u", 4, '{"B": "x", "C": "y"}'), (300, None, 1, '{"DETNAM": "c"}'), (301, "s", None, '{"DETNAM": "d"}')]
     spark.createDataFrame(data, "file_id long, stream_id string, seq_no int, header_json string").write.parquet(str(tmp_path / "file_header.parquet"))
-    got = {r.file_id: json.loads(r.header_fields) for r in problems.p5_table(spark, str(tmp_path)).collect()}
+    got = {r.file_id: {k[3:]: v for k, v in r.asDict().items() if k.startswith("kw_") and v is not None} for r in problems.p5_table(spark, str(tmp_path)).collect()}
     assert len(got) == len(data)
-    assert all(len(got[i]) == 2 and got[i]["EXPO"] == str(i) for i in range(12))
+    assert all(len(got[i]) == 2 and got[i]["EXPO"] == float(i) for i in range(12))
     one = {k for i in range(12) for k in got[i]} - {"EXPO"}
     assert len(one) == 1 and all(got[i][min(one)] == "ccd" for i in range(12))
     assert all(got[100 + i] == {"INSTRUME": "a", "DETNAM": "b"} for i in range(3))
@@ -211,6 +211,49 @@ def test_one_rename_unifies_its_stream_only(spark, tmp_path, monkeypatch):
     assert got[300] == {"DETNAM": "c"} and got[301] == {"DETNAM": "d"}
 
 
+def test_many_renames_are_paired_at_once():
+    for n in (2, 8, 20):
+        gone = {f"NAME{i}": 1.0 for i in range(n)}
+        got = dict(pair_renames(gone, {f"NAME{i}_NEW": 1.0 for i in range(n)}))
+        assert got == {f"NAME{i}": f"NAME{i}_NEW" for i in range(n)}
+    # The same two keywords whatever else changes in the file.
+    few = dict(pair_renames({"C": 1, "CA": 1}, {"B": 1, "CC": 1}))
+    more = dict(pair_renames({"C": 1, "CA": 1} | {f"X{i}": f"v{i}" for i in range(9)}, {"B": 1, "CC": 1} | {f"Y{i}": f"v{i}" for i in range(9)}))
+    assert few == {k: more[k] for k in few} and len(more) == 11
+
+
+def test_assignment_is_the_best():
+    import itertools
+
+    from tickloom.operators.drift import assigned
+
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 4), (4, 3), (5, 5), (3, 6)):
+        for _ in range(20):
+            w = np.round(rng.uniform(-1, 2, (n, m)), 2)
+            best = max(sum(max(w[i, j], 0) for i, j in zip(rows, cols)) for rows in itertools.permutations(range(n), min(n, m)) for cols in itertools.permutations(range(m), min(n, m)))
+            got = assigned(w)
+            assert abs(sum(w[i, j] for i, j in got) - best) < 1e-9 and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+
+
+def test_moves():
+    from tickloom.operators.drift import edit_script
+
+    a = {"RA": 1.5, "POS": {"DEC": 2.5}, "T": {"x": 1, "y": "a"}, "OLD": {"deep": {"z": 7.25}}}
+    b = {"POS": {"DECL": 2.5}, "CENTRE": {"RA": 1.5}, "T": {"x": "1", "y": "a"}, "z": 7.25}
+    assert sorted(edit_script(a, b)) == sorted([("RA", "moved", "CENTRE.RA"), ("CENTRE", "added", None), ("POS.DEC", "renamed", "POS.DECL"), ("T.x", "retyped", None), ("OLD", "removed", None), ("OLD.deep.z", "moved", "z")])
+
+
+def test_typed_columns(spark):
+    from tickloom.operators.drift import typed_columns
+
+    df = spark.createDataFrame([(1, "s", 1, {"A": "1.5", "B": "x"}), (2, "s", 2, {"A": "soon", "file_id": "9"}), (3, "s", 3, None), (4, "s", 4, {"A": "2"})], "file_id long, stream string, seq int, fields map<string,string>")
+    got = typed_columns(df)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][3:] == [("kw_A", "double"), ("kw_B", "string"), ("kw_file_id", "double"), ("unparsed", "map<string,string>")]
+    rows = {r.file_id: r for r in got.collect()}
+    assert rows[2].kw_A is None and rows[2].unparsed == {"A": "soon"} and rows[1].kw_A == 1.5 and rows[3].kw_B is None
+
+
 def test_pairing():
     assert pair_renames({"RA": 1.0, "DEC": 1.0}, {"RA_OBJ": 1.0, "DEC_OBJ": 1.0}) in ([("DEC", "DEC_OBJ"), ("RA", "RA_OBJ")], [("RA", "RA_OBJ"), ("DEC", "DEC_OBJ")])
     assert pair_renames({"A": None}, {"B": None}) == []

@@ -6,6 +6,7 @@ import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from tickloom.operators.blocks import explode_range
 
 #: Files of one stream that are compared in one task, at most.
 BLOCK_FILES = 512
-#: Costs of an edit: a keyword or nested field added or removed, a changed value, a changed type.
-ADD, REMOVE, VALUE, TYPE = 1.0, 1.0, 3.0, 3.0
-#: Keywords up to which renames are paired by trying all pairings; beyond it cheapest pairs go first.
-EXACT = 6
+#: Costs of an edit: a keyword or nested field added or removed, a changed value, a changed type, a changed parent.  A value
+#: changes from file to file, so that a rename of a single field needs the same one; nested fields may differ in part.
+ADD, REMOVE, VALUE, TYPE, MOVE = 1.0, 1.0, 3.0, 3.0, 0.05
+#: Keywords of a table of columns, at most; more are no vocabulary.
+MOST_COLUMNS = 5000
 
 
 def kind_of(value) -> str | None:
@@ -61,43 +63,101 @@ def name_distance(a: str, b: str) -> float:
     return rows[-1] / max(len(a), len(b), 1)
 
 
-def pair_renames(gone: dict, new: dict) -> list[tuple[str, str]]:
-    """Renames of a cheapest edit script: (old name, new name).
+def assigned(saving: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns of the greatest total saving; pairs that save nothing are left out.
 
-    Renaming costs the distance of the values plus less than one for the names; it is in the script where that is cheaper
-    than removing one and adding the other.  Null values match nothing.
+    Rows are added one by one along shortest augmenting paths over reduced costs: cubic in the number of rows, for any.
     """
-    cost = {}
-    for a, b in itertools.product(sorted(gone), sorted(new)):
-        if gone[a] is not None and new[b] is not None:
-            c = subtree_distance(gone[a], new[b]) + 0.9 * name_distance(a, b)
-            if c < ADD + REMOVE - 0.1:
-                cost[a, b] = c
-    if not cost:
+    if not saving.size or saving.max() <= 0:
         return []
-    old, fresh = sorted({a for a, _ in cost}), sorted({b for _, b in cost})
-    if len(old) <= EXACT and len(fresh) <= EXACT:
-        best, pairs = 0.0, []
-
-        def search(i: int, used: frozenset, saved: float, chosen: list) -> None:
-            nonlocal best, pairs
-            if saved > best + 1e-12:
-                best, pairs = saved, list(chosen)
-            if i == len(old):
-                return
-            for b in fresh:
-                if b not in used and (old[i], b) in cost:
-                    search(i + 1, used | {b}, saved + ADD + REMOVE - cost[old[i], b], [*chosen, (old[i], b)])
-            search(i + 1, used, saved, chosen)
-
-        search(0, frozenset(), 0.0, [])
-        return pairs
-    pairs, taken = [], set()
-    for (a, b), _ in sorted(cost.items(), key=lambda x: (x[1], x[0])):
-        if ("o", a) not in taken and ("n", b) not in taken:
-            taken |= {("o", a), ("n", b)}
-            pairs.append((a, b))
-    return pairs
+    if saving.shape[0] > saving.shape[1]:
+        return sorted((i, j) for j, i in assigned(saving.T))
+    cost = -np.maximum(saving, 0.0)
+    n, m = cost.shape
+    row_price, col_price = np.zeros(n), np.zeros(m)
+    row_of = np.full(m, -1)
+    for i in range(n):
+        least, came, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, last, base = i, -1, 0.0
+        while at >= 0:
+            reduced = base + cost[at] - row_price[at] - col_price
+            closer = ~seen & (reduced < least)
+            least[closer], came[closer] = reduced[closer], last
+            last = int(np.argmin(np.where(seen, np.inf, least)))
+            base, seen[last] = least[last], True
+            at = row_of[last]
+        row_price[i] += base
+        used = seen & (row_of >= 0)
+        row_price[row_of[used]] += base - least[used]
+        col_price[seen] -= base - least[seen]
+        while last >= 0:  # along the path every row moves to the next column
+            before = came[last]
+            row_of[last] = row_of[before] if before >= 0 else i
+            last = before
+    return sorted((int(r), j) for j, r in enumerate(row_of) if r >= 0 and saving[r, j] > 0)
+
+
+def _below(path: tuple[str, ...], value) -> Iterator[tuple[tuple[str, ...], object]]:
+    """Paths and values of all fields inside a value."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield (*path, k), v
+            yield from _below((*path, k), v)
+
+
+def _paired(gone: dict[tuple, object], new: dict[tuple, object]) -> list[tuple[tuple, tuple]]:
+    """Pairs of paths of a cheapest edit script between fields that went and fields that came.
+
+    A pair costs the distance of the values, less than one for the names, and MOVE if the parent changes; it is in the script
+    where that is cheaper than removing one field and adding the other.  Null values match nothing.
+    """
+    old, fresh = (sorted(k for k, v in d.items() if v is not None) for d in (gone, new))
+    saving = np.zeros((len(old), len(fresh)))
+    for (i, a), (j, b) in itertools.product(enumerate(old), enumerate(fresh)):
+        far = subtree_distance(gone[a], new[b])
+        if far < ADD + REMOVE:
+            saving[i, j] = ADD + REMOVE - 0.1 - far - 0.9 * name_distance(a[-1], b[-1]) - MOVE * (a[:-1] != b[:-1])
+    return [(old[i], fresh[j]) for i, j in assigned(saving)]
+
+
+def pair_renames(gone: dict, new: dict) -> list[tuple[str, str]]:
+    """Renames of a cheapest edit script between keywords of one header: (old name, new name)."""
+    return [(a[0], b[0]) for a, b in _paired({(k,): v for k, v in gone.items()}, {(k,): v for k, v in new.items()})]
+
+
+def edit_script(before: dict, now: dict, last: dict | None = None) -> list[tuple[str, str, str | None]]:
+    """Cheapest script between two headers as trees: (field, kind, other name), fields as dotted paths.
+
+    Kinds: added, removed, renamed (another name under the same parent), moved (to another parent, also into or out of a
+    field that came or went as a whole), retyped.  ``last`` has the last non-null values of keywords that are null in
+    ``before``.  A null has no type.
+    """
+    last = last or {}
+    gone: dict[tuple, object] = {}
+    new: dict[tuple, object] = {}
+    out: list[tuple[str, str, str | None]] = []
+
+    def compare(a: dict, b: dict, path: tuple) -> None:
+        was = lambda k: a[k] if a[k] is not None or path else last.get(k)
+        gone.update(((*path, k), was(k)) for k in a.keys() - b.keys())
+        new.update(((*path, k), b[k]) for k in b.keys() - a.keys())
+        for k in sorted(a.keys() & b.keys()):
+            if b[k] is not None and was(k) is not None and kind_of(b[k]) != kind_of(was(k)):
+                out.append((".".join((*path, k)), "retyped", None))
+            elif isinstance(a[k], dict) and isinstance(b[k], dict):
+                compare(a[k], b[k], (*path, k))
+
+    compare(before, now, ())
+    pairs = _paired(gone, new)
+    for a, b in pairs:
+        gone.pop(a), new.pop(b)
+    # What is left may have moved into or out of fields that came or went as a whole.
+    into = _paired(gone, {q: v for p, x in new.items() for q, v in _below(p, x)})
+    out_of = _paired({q: v for p, x in gone.items() if p not in dict(into) for q, v in _below(p, x)}, new)
+    pairs += into + out_of
+    out += [(".".join(a), "renamed" if a[:-1] == b[:-1] else "moved", ".".join(b)) for a, b in pairs]
+    out += [(".".join(p), "removed", None) for p in sorted(gone.keys() - dict(into).keys())]
+    return out + [(".".join(p), "added", None) for p in sorted(new.keys() - {b for _, b in out_of})]
 
 
 def header(text: str | None) -> dict | None:
@@ -149,16 +209,7 @@ def _changes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if now is None:
                 continue
             if before is not None:
-                gone = {k: before[k] if before[k] is not None else last.get(k) for k in before.keys() - now.keys()}
-                new = {k: now[k] for k in now.keys() - before.keys()}
-                renamed = pair_renames(gone, new)
-                out += [(file_id, stream, seq, a, "renamed", b) for a, b in renamed]
-                out += [(file_id, stream, seq, k, "removed", None) for k in sorted(gone.keys() - {a for a, _ in renamed})]
-                out += [(file_id, stream, seq, k, "added", None) for k in sorted(new.keys() - {b for _, b in renamed})]
-                for k in sorted(now.keys() & before.keys()):
-                    was = last.get(k)
-                    if now[k] is not None and was is not None and kind_of(now[k]) != kind_of(was):
-                        out.append((file_id, stream, seq, k, "retyped", None))
+                out += [(file_id, stream, seq, k, kind, other) for k, kind, other in edit_script(before, now, last)]
             last.update((k, v) for k, v in now.items() if v is not None)
             before = now
         yield pd.DataFrame(out, columns=["file_id", "stream", "seq", "field_name", "change_kind", "other_name"])
@@ -174,15 +225,15 @@ def schema_changes(files: DataFrame) -> DataFrame:
     """Changes of every file's keywords against the file before it in its stream.
 
     ``files``: file_id, stream, seq, header_json.  Consecutive headers are compared as trees: the cheapest script of
-    adding, removing and renaming gives the changes, where a rename needs the same value under the new name (a split or
-    join of keywords has other values, and so is removed and added).  A keyword is retyped if its JSON type differs from
+    adding, removing, renaming and moving gives the changes (see edit_script), where a rename needs the same value under the
+    new name (a split or join of keywords has other values, and so is removed and added).  A keyword is retyped if its JSON type differs from
     that of its last non-null value.  Streams are cut into blocks of files that are compared independently; each inherits
     the header before it and the last non-null values.
 
     Names are compared and reported in upper case; key order means nothing; a repeated file_id counts once; files whose
     header is null or no JSON object, or whose stream or seq is null, are skipped; the first file of a stream has no
-    changes.  Output: file_id, stream, seq, field_name, change_kind (added, removed, renamed, retyped), other_name (the new
-    name of a renamed field).
+    changes.  Output: file_id, stream, seq, field_name, change_kind (added, removed, renamed, moved, retyped),
+    other_name (the new name of a renamed or moved field).
     """
     rows = files.select("file_id", "stream", F.col("seq").cast("long").alias("seq"), "header_json").where("stream is not null and seq is not null and get_json_object(header_json, '$') like '{%'").dropDuplicates(["file_id"])
     rows = rows.withColumn("block", F.expr(f"seq div {BLOCK_FILES}"))
@@ -342,3 +393,20 @@ def unified(files: DataFrame, names: dict[str, str], own: DataFrame | None = Non
     else:
         rows = _with_own_names(rows.withColumnsRenamed({"seq": "__as", "__seq": "seq"}), own).withColumnsRenamed({"seq": "__seq", "__as": "seq"})
     return rows.select("file_id", "stream", "seq", project("header_json", "renamed").alias("fields"))
+
+
+def typed_columns(table: DataFrame, prefix: str = "kw_", most: int = MOST_COLUMNS) -> DataFrame:
+    """The fields of ``unified`` as columns of one type each: a number where at least half of a field's values are, else text.
+
+    Values of a numeric field that are no number aren't lost: they stand in ``unparsed`` (a map).  Columns are in the order
+    of their names; more than ``most`` of them raise an error.
+    """
+    kinds = table.select(F.explode("fields").alias("k", "v")).groupBy("k").agg(F.count("v").alias("n"), F.count(F.col("v").try_cast("double")).alias("m")).limit(most + 1).collect()
+    if len(kinds) > most:
+        raise ValueError("more distinct keywords than a table has columns")
+    numeric = {r["k"]: 2 * r["m"] >= r["n"] for r in kinds}
+    value = lambda k: F.try_element_at("fields", F.lit(k))
+    columns = [(value(k).try_cast("double") if numeric[k] else value(k)).alias(prefix + k) for k in sorted(numeric)]
+    numbers = [k for k in sorted(numeric) if numeric[k]]
+    left = F.map_filter("fields", lambda k, v: k.isin(numbers) & v.isNotNull() & v.try_cast("double").isNull())
+    return table.select("file_id", "stream", "seq", *columns, left.alias("unparsed"))

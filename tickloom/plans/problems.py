@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.clocks import utc_instants
-from tickloom.operators.drift import canonical_names, schema_changes, stream_names, unified
+from tickloom.operators.drift import canonical_names, schema_changes, stream_names, typed_columns, unified
 from tickloom.operators.grid import regular_grid, spacing_of_readings
 from tickloom.operators.intervals import periods_and_gaps, to_millis
 from tickloom.operators.spikes import implausible
@@ -118,11 +118,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All headers in one consistent table, renamed keywords under one name."""
+    """All headers in one consistent table: a typed column for each keyword, renamed ones under one name."""
     files = _files(spark, sf_dir)
     changes = schema_changes(files)
     with_checkpoints(spark)  # the changes are read three times
     changes = changes.checkpoint()
     names = canonical_names(changes)
     out = unified(files, names, stream_names(changes, names))
-    return out.select("file_id", F.col("stream").alias("stream_id"), F.col("seq").alias("seq_no"), F.to_json("fields").alias("header_fields"))
+    out = typed_columns(out.checkpoint())
+    return out.withColumnsRenamed({"stream": "stream_id", "seq": "seq_no"}).withColumn("unparsed", F.to_json("unparsed"))
