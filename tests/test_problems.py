@@ -142,6 +142,11 @@ def test_instants(spark):
         ("Sat, 29 Feb 2020 13:00:00 +0100", None, None, None, None, 1582977600000),
         ("20200229T120000Z", None, None, None, None, 1582977600000),
         ("2020-02-29T12:00:00", None, None, None, None, None),
+        ("100000000", None, None, "UNIX", None, 100000000000),
+        ("40000.5", None, None, "UTC", None, int((40000.5 - 40587) * 86400000)),
+        ("2016-12-31T23:59:60", None, None, "UTC", None, 1483228800000), ("2016-11-30T23:59:60", None, None, "UTC", None, None),
+        ("2020-02-29T12:00:00.1234567890", None, None, "UTC", None, 1582977600123),
+        ("1960-02-29T12:00:00", None, None, "UTC", None, -310478400000), ("0000-02-01T00:00:00", None, None, "UTC", None, None), ("2019", None, None, "UTC", None, None),
         ("13:00:00", None, None, "UTC", None, None), ("2020-02", None, None, "UTC", None, None), ("", None, None, "UTC", None, None), (None, None, None, "UTC", None, None), ("n/a", None, None, "LOCAL", "Europe/Rome", None), ("0000-00-00T00:00:00", None, None, "UTC", None, None), ("x" * 5000, None, None, "UTC", None, None),
     ]
     df = spark.createDataFrame([(i, "s", raw, ref, zero, sys, zone, None) for i, (raw, ref, zero, sys, zone, _) in enumerate(cases)] * 2, STAMP)
@@ -149,6 +154,15 @@ def test_instants(spark):
     assert got == {i: c[-1] for i, c in enumerate(cases)}
 
 
+def test_forms_of_numbers_by_arrival(spark):
+    import datetime as dt
+
+    at = dt.datetime(2013, 3, 10)
+    cases = [("1362351728", "UNIX", 1362351728000), ("1362351728000", "UNIX", 1362351728000), ("1362351728000000", "POSIX", 1362351728000), ("1362351728000000000", "POSIX", 1362351728000), ("2456354.5", "UTC", 1362268800000), ("56354", "UTC", 1362268800000), ("01/02/13 10:00", "UTC", None), ("13/02/13 10:00", "UTC", 1360749600000), ("13/02/72 10:00", "UTC", 66823200000)]
+    df = spark.createDataFrame([(i, f"s{i}", raw, None, None, sys, None, at) for i, (raw, sys, _) in enumerate(cases)], STAMP)
+    assert {r.stamp_id: r.utc_ms for r in utc_instants(df, LEAPS, []).collect()} == {i: c[-1] for i, c in enumerate(cases)}
+
+
 def test_unresolved_order_is_marked(spark):
     df = spark.createDataFrame([(1, "lone", "03/04/2020 13:00", None, None, "LOCAL", "Europe/Rome", None)], STAMP)
     assert [tuple(r) for r in utc_instants(df, LEAPS, ["Europe/Rome"]).collect()] == [(1, None, "ambiguous")]

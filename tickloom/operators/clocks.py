@@ -2,222 +2,321 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.kernels import mixture_shares
 from tickloom.operators.blocks import broadcast_if_small
-from tickloom.sources.tables import finite, with_checkpoints
+from tickloom.sources.tables import with_checkpoints
 
 #: Modified Julian date of 1970-01-01, and of a Julian date's zero.
 UNIX_MJD, JD_MJD = 40587, 2400000.5
+DAY_MS = 86_400_000
 #: Terrestrial time less atomic time, in milliseconds.
 TT_TAI_MS = 32184
-#: Posterior from which one reading of an ambiguous form is taken, and the least share of an order.
-SURE, LEAST_SHARE = 0.99, 1e-12
-#: Plausible years of a stamp.
-YEARS = (1980, 2100)
+#: Posterior from which one reading of an ambiguous form is taken.
+SURE = 0.99
+#: Likelihoods: of a date behind the stamp's arrival by more than a day; years after which an older date is half as rare;
+#: of a two-digit year against the usual century (pivot 69); of a count in a fine unit that stays within 1970.
+LATE, AGE_YEARS, CENTURY, FINE = 1e-3, 10.0, 1e-3, 1e-3
+#: Level that stands for no likelihood at all.
+NEVER = -10_000
+#: Years that can be dates, and bare numbers that are years.
+YEARS, BARE_YEAR = (1, 9999), (1000, 3000)
 
 #: Minutes by which zone names stand east of Greenwich.
 ZONE_MINUTES = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600}
 #: Names that stand for different offsets in different zones: {name: {zone: minutes}}.
 SHARED_NAMES = {"IST": {"Asia/Kolkata": 330, "Asia/Jerusalem": 120, "Europe/Dublin": 60}, "CST": {"Asia/Shanghai": 480, "America/Havana": -300}, "BST": {"Asia/Dhaka": 360}}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-
-#: A text that splits into date and clock, and the clock's parts: hour, minute, second, fraction, AM or PM.
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp][Mm]))?$"
-_SPLIT = rf"^(\S.*?)[T: ]+({_CLOCK[:-1]})$"
-_BASIC = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$"
-
-
-def _month(name: Column) -> Column:
-    at = F.instr(F.lit("|" + "|".join(MONTHS)), F.concat(F.lit("|"), F.lower(F.substring(name, 1, 3))))
-    return F.when(at > 0, F.lpad(F.floor((at + 3) / 4).cast("string"), 2, "0"))
-
-
-def _parsed(rows: DataFrame) -> DataFrame:
-    """Candidates of the date text in ``body``: wall clocks in milliseconds since 1970 as if they were UTC.
-
-    dmy and mdy are the two parses of two leading numbers, sole the parse of any other form; null where a date or time
-    doesn't exist or the text has another form.
-    """
-    body = F.regexp_replace("body", _BASIC, "$1-$2-$3 $4:$5:$6")
-    rows = rows.withColumns({"__date": F.regexp_replace(F.regexp_extract(body, _SPLIT, 1), "^[A-Z][a-z]{2}, ", ""), "__clock": F.regexp_extract(body, _SPLIT, 2)})
-    rows = rows.withColumns({"__p": F.split("__date", "[-/. ,:]+"), **{f"__c{i}": F.regexp_extract("__clock", "^" + _CLOCK, i + 1) for i in range(5)}})
-    p = [F.get("__p", F.lit(i)) for i in range(3)]
-    three = F.size("__p") == 3
-    rows = rows.withColumns({"__a": p[0], "__b": p[1], "__c": p[2]})
-    number = lambda c, n: F.col(c).rlike(rf"^\d{{{n}}}$")
-    year = F.when(number("__a", 4), F.col("__a")).when(number("__c", 4), F.col("__c")).when(number("__c", 2), F.concat(F.when(F.col("__c") < "70", "20").otherwise("19"), "__c"))
-    rows = rows.withColumn("__y", F.when(three, year).when((F.size("__p") == 2) & number("__a", 4), F.col("__a")))
-    rows = rows.withColumn("__doy", F.when((F.size("__p") == 2) & number("__b", 3), F.col("__b").try_cast("int")))
-    hour = F.col("__c0").try_cast("int")
-    hour = F.when(F.col("__c4") == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.upper("__c4") == "PM", 12).otherwise(0))
-    rows = rows.withColumns({"__h": hour, "__mi": F.col("__c1").try_cast("int"), "__s": F.when(F.col("__c2") == "", 0).otherwise(F.col("__c2").try_cast("int"))})
-    millis = F.when(F.col("__c3") == "", 0.0).otherwise(F.rpad("__c3", 9, "0").try_cast("double") / 1e6)
-    rows = rows.withColumn("__ms", F.when(F.col("__h").between(0, 23) & F.col("__mi").between(0, 59) & F.col("__s").between(0, 59), (F.col("__h") * 3600 + F.col("__mi") * 60 + F.col("__s")) * F.lit(1000.0) + millis))
-
-    def days(month: Column, day: Column) -> Column:
-        return F.unix_date(F.concat("__y", F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date"))
-
-    two = three & F.col("__a").rlike(r"^\d{1,2}$") & F.col("__b").rlike(r"^\d{1,2}$")
-    month = F.when(number("__a", 4), F.col("__b")).when(F.col("__b").rlike("^[A-Za-z]"), _month(F.col("__b"))).when(F.col("__a").rlike("^[A-Za-z]"), _month(F.col("__a")))
-    day = F.when(number("__a", 4), F.col("__c")).when(F.col("__b").rlike("^[A-Za-z]"), F.col("__a")).when(F.col("__a").rlike("^[A-Za-z]"), F.col("__b"))
-    first = F.unix_date(F.concat("__y", F.lit("-01-01")).try_cast("date"))
-    last = F.unix_date(F.concat("__y", F.lit("-12-31")).try_cast("date"))
-    by_day = F.when((F.col("__doy") >= 1) & (first + F.col("__doy") - 1 <= last), first + F.col("__doy") - 1)
-    rows = rows.withColumns({"__sole": F.when(three & ~two, days(month, day)).otherwise(by_day), "__dmy": F.when(two, days(F.col("__b"), F.col("__a"))), "__mdy": F.when(two, days(F.col("__a"), F.col("__b")))})
-    rows = rows.withColumns({k: F.col(f"__{k}") * F.lit(86_400_000.0) + F.col("__ms") for k in ("sole", "dmy", "mdy")})
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
-
-
-def _orders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mixture of day-month orders of one source, from counts of equal evidence.
-
-    Each row: weights of a stamp under the two orders (0: not a date) and how many stamps have them.  The share is the one
-    expectation-maximisation converges to: its step raises the share where the likelihood's slope is positive and lowers it
-    where that is negative, and the slope falls all along, so its zero is bisected down to neighbouring floats however few
-    stamps are decisive.  Without a decisive stamp every share is as likely, and it stays at a half.
+#: Time systems: astronomic ones, and those of Unix counts.
+ASTRONOMIC, UNIX = ("UTC", "TT", "TDB", "TAI"), ("UNIX", "POSIX")
+
+#: Classes of texts with more than one valid parse, and the components of their mixtures.
+FORMS = {"date": ["dmy 20", "mdy 20", "dmy 19", "mdy 19"], "count": ["s", "ms", "us", "ns"], "number": ["mjd", "jd", "year"]}
+
+_CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?: ?(?P<half>[ap]m))?"
+_TAG = r"(?: ?(?P<tag>[+-]\d{2}:?\d{2}|[A-Z]{1,5}))?"
+_DATES = [
+    r"(?P<y>\d{4})[-/.](?P<m>\d{1,2})[-/.](?P<d>\d{1,2})",
+    r"(?P<y>\d{4})[-:](?P<doy>\d{3})",
+    r"(?P<a>\d{1,2})[-/.](?P<b>\d{1,2})[-/.](?P<yy>\d{4}|\d{2})",
+    r"(?:[A-Z][a-z]{2}, )?(?P<d>\d{1,2})[- ](?P<mon>[A-Za-z]{3,9})[- ,]+(?P<y>\d{4})",
+    r"(?P<mon>[A-Za-z]{3,9})[- ](?P<d>\d{1,2})[, ]+(?P<y>\d{4})",
+]
+_TEXTS = [re.compile(rf"{d}(?:[T:]| +){_CLOCK}{_TAG}", re.ASCII) for d in _DATES] + [re.compile(rf"(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})T(?P<h>\d{{2}})(?P<mi>\d{{2}})(?P<s>\d{{2}})(?:[.,](?P<f>\d+))?{_TAG}", re.ASCII)]
+_NUMBER = re.compile(r"[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?", re.ASCII)
+_DATE_NUMBER = re.compile(r"(M?JD)[ =]*(\d+(?:\.\d+)?)", re.ASCII | re.IGNORECASE)
+
+
+@dataclass
+class _Shape:
+    """How texts of one shape are read: which parts stand where. ``kind``: 'text', 'jd', 'mjd', 'number' or '' (none)."""
+
+    kind: str
+    parts: dict[str, tuple[int, int]]
+
+
+def _shape_of(text: str) -> _Shape:
+    # AM and PM aren't zone names; letters of a shape are those of the text, only digits are left open.
+    low = re.sub(r"(?<=\d)( ?)([AaPp][Mm])(?= |$)", lambda m: m[1] + m[2].lower(), text)
+    for form in _TEXTS:
+        if m := form.fullmatch(low):
+            return _Shape("text", {k: m.span(k) for k, v in m.groupdict().items() if v is not None})
+    if m := _DATE_NUMBER.fullmatch(text):
+        return _Shape(m[1].lower(), {"number": m.span(2)})
+    return _Shape("number" if _NUMBER.fullmatch(text) else "", {})
+
+
+def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Days since 1970 of dates, NaN where there is no such date."""
+    ok = (y >= YEARS[0]) & (y <= YEARS[1]) & (m >= 1) & (m <= 12) & (d >= 1)
+    first = (np.where(ok, y, 2000).astype(np.int64) - 1970).astype("M8[Y]").astype("M8[M]") + (np.where(ok, m, 1).astype(np.int64) - 1)
+    day, end = first.astype("M8[D]"), (first + 1).astype("M8[D]")
+    ok &= d <= (end - day).astype(np.int64)
+    return np.where(ok, day.astype(np.int64) + d - 1.0, np.nan)
+
+
+def _parsed(texts: np.ndarray, zones: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Wall clocks in milliseconds since 1970 as if they were UTC, by text: sole (of forms with one parse), the four of FORMS['date'],
+    offset (minutes of the zone in the text, NaN where it isn't known), tagged, JD or MJD as MJD, number, leap (a second 60).
+
+    Texts are grouped by shape, their digits left open; each shape is analysed once, and all texts of it are read as columns
+    of characters.
     """
-    w = pdf[["w_dmy", "w_mdy"]].to_numpy(float)
-    n = pdf["n"].to_numpy(float)
-    apart = w[:, 0] - w[:, 1]
-
-    def slope(share: float) -> float:
-        return float(np.sum(n * apart / (w[:, 0] * share + w[:, 1] * (1 - share))))
-
-    share = 0.5
-    if apart.any():
-        low, high = LEAST_SHARE, 1 - LEAST_SHARE
-        if slope(high) >= 0:
-            share = high
-        elif slope(low) <= 0:
-            share = low
+    n = len(texts)
+    sole, offset, mjd, number = (np.full(n, np.nan) for _ in range(4))
+    dates = np.full((n, 4), np.nan)
+    tagged, leap = np.zeros(n, bool), np.zeros(n, bool)
+    open_digits = str.maketrans("123456789", "000000000")
+    of, shapes = pd.factorize(np.array([t.translate(open_digits) for t in texts], dtype=object))
+    order = np.argsort(of, kind="stable")
+    for shape, at in zip(shapes, np.split(order, np.searchsorted(of[order], np.arange(1, len(shapes))))):
+        plan = _shape_of(str(texts[at[0]]))
+        if plan.kind == "":
+            continue
+        if plan.kind != "text":
+            a, z = plan.parts.get("number", (0, None))
+            x = np.array([float(t[a:z]) for t in texts[at]])
+            if plan.kind == "number":
+                number[at] = x
+            else:
+                mjd[at] = x - JD_MJD if plan.kind == "jd" else x
+            continue
+        chars = texts[at].astype(f"U{len(shape)}").view("U1").reshape(len(at), len(shape))
+
+        def digits(name: str, default: float = 0.0, plan=plan, chars=chars) -> np.ndarray:
+            if name not in plan.parts:
+                return np.full(len(chars), default)
+            a, z = plan.parts[name]
+            return (chars[:, a:z].view(np.uint32) - 48.0) @ 10.0 ** np.arange(z - a - 1, -1, -1)
+
+        def words(name: str, plan=plan, at=at) -> list[str]:
+            a, z = plan.parts[name]
+            return [t[a:z] for t in texts[at]]
+
+        h, mi, s = digits("h"), digits("mi"), digits("s")
+        if "half" in plan.parts:
+            late = np.array([w[0] in "pP" for w in words("half")])
+            h = np.where((h >= 1) & (h <= 12), h % 12 + 12 * late, np.nan)
+        fraction = digits("f") * 10.0 ** -(plan.parts["f"][1] - plan.parts["f"][0]) if "f" in plan.parts else 0.0
+        sixty = (s == 60) & (h >= 0)
+        ok = (h <= 23) & (mi <= 59) & (s <= 60)
+        ms = np.where(ok, (h * 3600 + mi * 60 + s + fraction) * 1000.0, np.nan)
+        if "tag" in plan.parts:
+            tagged[at] = True
+            offset[at] = [_offset(w, z) for w, z in zip(words("tag"), zones[at])]
+        if "a" in plan.parts:
+            a, b, y = digits("a"), digits("b"), digits("yy")
+            if plan.parts["yy"][1] - plan.parts["yy"][0] == 4:
+                dates[at, 0], dates[at, 1] = _days(y, b, a) * DAY_MS + ms, _days(y, a, b) * DAY_MS + ms
+            else:
+                for k, century in ((0, 2000), (2, 1900)):
+                    dates[at, k], dates[at, k + 1] = _days(y + century, b, a) * DAY_MS + ms, _days(y + century, a, b) * DAY_MS + ms
         else:
-            while low < (share := (low + high) / 2) < high:
-                low, high = (share, high) if slope(share) > 0 else (low, share)
-    return pd.DataFrame({"source": [pdf["source"].iloc[0]], "share_dmy": [share], "share_mdy": [1 - share]})
-
-
-def day_month_orders(stamps: DataFrame) -> DataFrame:
-    """Mixture of day-month orders of every source, fitted to all its stamps of that form.
-
-    ``stamps``: source, dmy, mdy (wall clocks, null where impossible), latest (wall clock no stamp should pass, or null).
-    Stamps are first counted by equal evidence, so that one source is a handful of rows however many stamps it wrote.
-    """
-    late = F.col("latest") + 86_400_000.0
-
-    def weight(c: str) -> Column:
-        return F.when(F.col(c).isNull(), 0.0).when(F.col(c) > late, 1e-3).otherwise(1.0)
-
-    evidence = stamps.where("dmy is not null or mdy is not null").select(F.coalesce("source", F.lit("")).alias("source"), weight("dmy").alias("w_dmy"), weight("mdy").alias("w_mdy"))
-    counted = evidence.groupBy("source", "w_dmy", "w_mdy").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("source").applyInPandas(_orders, "source string, share_dmy double, share_mdy double")
-
-
-def _leap_offset(tai_ms: Column, leaps: list[tuple[int, int]]) -> Column:
-    """TAI - UTC in milliseconds at an instant given in atomic time; null before the first entry."""
-    out = F.lit(None).cast("double")
-    for day, offset in sorted(leaps):
-        start = float((day - UNIX_MJD) * 86_400_000 + offset * 1000)
-        out = F.when(tai_ms >= start, float(offset * 1000)).otherwise(out)
+            y = digits("y")
+            if "doy" in plan.parts:
+                doy = digits("doy")
+                day = np.where((doy >= 1) & (_days(y, np.full(len(y), 1), np.full(len(y), 1)) + doy - 1 <= _days(y, np.full(len(y), 12), np.full(len(y), 31))), _days(y, np.full(len(y), 1), np.full(len(y), 1)) + doy - 1, np.nan)
+            else:
+                months = np.array([MONTHS.index(w[:3].lower()) + 1 if w[:3].lower() in MONTHS else 0 for w in words("mon")], float) if "mon" in plan.parts else digits("m")
+                day = _days(y, months, digits("d"))
+            sole[at] = day * DAY_MS + ms
+        leap[at] = sixty & ~np.isnan(ms)
+    return sole, dates, offset, tagged, mjd, number, leap
+
+
+def _offset(tag: str, zone: str | None) -> float:
+    """Minutes east of Greenwich of a zone in a text; NaN if unknown."""
+    if tag[0] in "+-":
+        minutes = int(tag[1:3]) * 60 + int(tag[-2:])
+        return (-1 if tag[0] == "-" else 1) * minutes if minutes <= 1080 and int(tag[-2:]) < 60 else np.nan
+    return SHARED_NAMES.get(tag, {}).get(zone or "", ZONE_MINUTES.get(tag, np.nan))
+
+
+def _local(wall: np.ndarray, zones: np.ndarray, known: frozenset[str]) -> np.ndarray:
+    """Instants of wall clocks in their zones; NaN where a zone is unknown or has that time never or twice."""
+    out = np.full(len(wall), np.nan)
+    for zone in set(zones[~np.isnan(wall)]) & known:
+        at = np.flatnonzero((zones == zone) & ~np.isnan(wall))
+        seconds = np.floor(wall[at] / 1000)
+        there = pd.Series(seconds.astype("int64").astype("M8[s]")).dt.tz_localize(zone, ambiguous="NaT", nonexistent="NaT").dt.tz_convert("UTC")
+        instant = there.to_numpy("M8[s]")
+        out[at] = np.where(np.isnat(instant), np.nan, instant.astype(np.int64) * 1000.0 + wall[at] - seconds * 1000.0)
     return out
 
 
-def _zone_offset(name: Column, zone: Column) -> Column:
-    def lookup(pairs: dict[str, int], key: Column) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
-
-    shared = {f"{k}@{z}": v for k, by in SHARED_NAMES.items() for z, v in by.items()}
-    return F.coalesce(lookup(shared, F.concat(name, F.lit("@"), zone)), lookup(ZONE_MINUTES, name))
-
-
-def _with_local(rows: DataFrame, wall: str, zone: str, out: str) -> DataFrame:
-    """The one instant of a wall clock in a zone; null where the zone has that time never or twice.
-
-    The zone's offsets a day before and a day after are the only ones that can hold; an instant counts if the zone shows
-    the wall clock at it.  Whole seconds go through the zone, since zone changes lie on them; the rest is added again.
+def _to_utc(moment: np.ndarray, system: np.ndarray, leaps: list[tuple[int, int]]) -> np.ndarray:
+    """UTC milliseconds of moments given in a time system; NaN before the first leap second of the table for other systems than UTC."""
+    tai = np.where(np.isin(system, ("TT", "TDB")), moment - TT_TAI_MS, moment)
+    days, seconds = np.array(sorted(leaps), float).reshape(-1, 2).T if leaps else (np.zeros(0), np.zeros(0))
+    k = np.searchsorted((days - UNIX_MJD) * DAY_MS + seconds * 1000, tai, side="right") - 1
+    offset = np.where(k >= 0, seconds[np.maximum(k, 0)] if len(seconds) else np.nan, np.nan)
+    return np.where(system == "UTC", moment, tai - offset * 1000)
+
+
+def _likelihood(ms: np.ndarray, latest: np.ndarray) -> np.ndarray:
+    """Chance of dates before the day after the stamp's arrival, falling with their age; 0 where there is no date."""
+    age = np.where(np.isnan(latest)[:, None], 0.0, np.maximum(latest[:, None] - ms, 0.0)) / (365.25 * DAY_MS)
+    late = ms > (latest + DAY_MS)[:, None]
+    return np.where(np.isnan(ms), 0.0, np.where(late, LATE, 1.0) * (1 + age / AGE_YEARS) ** -3.0)
+
+
+CANDIDATES = "stamp_id bigint, source string, form string, " + ", ".join(f"u{k} double, w{k} double" for k in range(4)) + ", is_date boolean"
+
+
+def _candidates(df: pd.DataFrame, leaps: list[tuple[int, int]], zones: frozenset[str]) -> pd.DataFrame:
+    """All valid parses of stamps: form (the class of its mixture, or null), instants and likelihoods by component."""
+    n = len(df)
+    raw = df["raw"].fillna("").to_numpy(object)
+    zone = df["zone"].to_numpy(object)
+    system = df["system"].fillna("").to_numpy(object)
+    ref, zero, latest = (df[c].to_numpy(float) for c in ("mjdref", "timezero", "latest"))
+    sole, dates, offset, tagged, date_number, number, leap = _parsed(raw, zone)
+    elapsed, astronomic, unix = ~np.isnan(ref), np.isin(system, ASTRONOMIC), np.isin(system, UNIX)
+    local = (system == "LOCAL") & ~tagged & ~elapsed
+    # A second 60 is only where the table has a leap second at the end of that day.
+    ends = {float(d) for d, _ in leaps}
+    wrong = leap & ~(np.isin(np.floor(np.nan_to_num(sole - 1) / DAY_MS) + UNIX_MJD + 1, [*ends]) & (np.nan_to_num(sole) % DAY_MS < 1000) & ~tagged & (system == "UTC"))
+    sole = np.where(wrong, np.nan, sole)
+    dates[leap] = np.nan
+
+    def instants(wall: np.ndarray) -> np.ndarray:
+        """Of wall clocks by what their text or system says."""
+        own = _to_utc(wall, np.where(astronomic, system, "UTC"), leaps)
+        own = np.where(tagged, wall - offset * 60_000.0, np.where(astronomic, own, np.nan))
+        return np.where(elapsed, np.nan, np.where(local, _local(np.where(local, wall, np.nan), zone, zones), own))
+
+    one = instants(sole)
+    by_ref = (ref - UNIX_MJD) * DAY_MS + (np.nan_to_num(zero) + number) * 1000.0
+    one = np.where(elapsed, np.where(astronomic, _to_utc(by_ref, system, leaps), np.nan), one)
+    day = np.where(~elapsed & astronomic, _to_utc((date_number - UNIX_MJD) * DAY_MS, system, leaps), np.nan)
+    low, high = (_days(np.array([y + 0.0]), np.array([m]), np.array([d]))[0] + UNIX_MJD for y, m, d in ((YEARS[0], 1, 1), (YEARS[1], 12, 31)))
+    one = np.where(np.isnan(one), np.where((date_number >= low) & (date_number <= high), day, np.nan), one)
+
+    form = np.full(n, None, dtype=object)
+    utc, weight = np.full((n, 4), np.nan), np.zeros((n, 4))
+    is_date = ~np.isnan(dates).all(axis=1) & ~elapsed & (tagged | local | astronomic)
+    form[is_date] = "date"
+    weight[is_date] = (_likelihood(dates, latest) * [1, 1, CENTURY, CENTURY])[is_date]
+    # Years from the pivot on are those of the last century by convention.
+    two = ~np.isnan(dates[:, 2:]).all(axis=1)
+    old = is_date & two & (np.nanmax(np.where(np.isnan(dates[:, 2:]), -np.inf, dates[:, 2:]), axis=1) >= _days(np.array([1969.0]), np.array([1]), np.array([1]))[0] * DAY_MS)
+    weight[old] = weight[old] * [CENTURY, CENTURY, 1 / CENTURY, 1 / CENTURY]
+    for k in range(4):
+        utc[:, k] = np.where(is_date, instants(dates[:, k]), utc[:, k])
+    count = unix & ~elapsed & ~np.isnan(number)
+    form[count] = "count"
+    by_scale = number[:, None] * [1000.0, 1.0, 1e-3, 1e-6]
+    by_scale = np.where((by_scale >= (low - UNIX_MJD) * DAY_MS) & (by_scale <= (high - UNIX_MJD) * DAY_MS), by_scale, np.nan)
+    fine = np.abs(by_scale) < 365 * DAY_MS
+    fine[:, 0] = False
+    weight[count] = (_likelihood(by_scale, latest) * np.where(fine, FINE, 1.0))[count]
+    utc[count] = by_scale[count]
+    plain = astronomic & ~elapsed & ~np.isnan(number)
+    form[plain] = "number"
+    days = np.stack([number, number - JD_MJD], axis=1)
+    days = np.where((days >= low) & (days <= high), days, np.nan)
+    as_utc = np.stack([_to_utc((days[:, k] - UNIX_MJD) * DAY_MS, system, leaps) for k in (0, 1)], axis=1)
+    bare = (number >= BARE_YEAR[0]) & (number <= BARE_YEAR[1]) & (number == np.floor(number))
+    chance = np.concatenate([_likelihood(as_utc, latest), np.where(bare, 1.0, 0.0)[:, None], np.zeros((n, 1))], axis=1)
+    chance[bare, :2] *= LATE
+    weight[plain] = chance[plain]
+    utc[plain, :2] = as_utc[plain]
+    mixed = np.array([f is not None for f in form], bool)
+    utc[~mixed, 0] = one[~mixed]
+    by_component = {f"{name}{k}": x[:, k] for k in range(4) for name, x in (("u", utc), ("w", weight))}
+    return pd.DataFrame({"stamp_id": df["stamp_id"], "source": df["source"], "form": form, **by_component, "is_date": ~np.isnan(sole) | is_date})
+
+
+def form_shares(parsed: DataFrame) -> DataFrame:
+    """Mixture of forms of every source and class: source, form, shares (by component), fitted by expectation-maximisation.
+
+    ``parsed``: source, form, weight.  Stamps are first counted by equal evidence (their likelihoods to half a decade), so that
+    a source is a handful of rows however many stamps it wrote; the shares are those that the rounds converge to.
     """
+    level = F.transform("weight", lambda w: F.when(w > 0, F.round(F.log10(w) * 2).cast("int")).otherwise(NEVER))
+    counted = parsed.where("form is not null").groupBy("source", "form", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    evidence = counted.groupBy("source", "form").agg(F.collect_list(F.struct("level", "n")).alias("rows"))
 
-    def offset(at: Column) -> Column:
-        return F.unix_seconds(F.from_utc_timestamp(at, F.col(zone))) - F.unix_seconds(at)
-
-    def shown(at: str) -> Column:
-        return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(at), F.col(zone))) == F.col("__sec")
+    @F.pandas_udf("array<double>")
+    def fit(rows: pd.Series, forms: pd.Series) -> pd.Series:
+        out = []
+        for own, form in zip(rows, forms):
+            k = len(FORMS[form])
+            w = 10.0 ** (np.array([list(r["level"]) for r in own], float) / 2)[:, :k]
+            shares = mixture_shares(w, np.array([r["n"] for r in own]))
+            out.append([*shares.tolist(), *[0.0] * (4 - k)])
+        return pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("__sec", F.floor(F.col(wall) / 1000))
-    rows = rows.withColumns({"__a": F.col("__sec") - offset(F.timestamp_seconds(F.col("__sec") - 86_400)), "__b": F.col("__sec") - offset(F.timestamp_seconds(F.col("__sec") + 86_400))})
-    rows = rows.withColumns({"__at_a": shown("__a"), "__at_b": shown("__b")})
-    one = F.when(F.expr("__a = __b"), F.when(F.col("__at_a"), F.col("__a"))).when(F.expr("__at_a and not __at_b"), F.col("__a")).when(F.expr("__at_b and not __at_a"), F.col("__b"))
-    return rows.withColumn(out, F.round(one * 1000.0 + (F.col(wall) - F.col("__sec") * 1000.0)).cast("long")).drop("__sec", "__a", "__b", "__at_a", "__at_b")
+    return evidence.select("source", "form", fit("rows", "form").alias("shares"))
 
 
 def utc_instants(stamps: DataFrame, leaps: list[tuple[int, int]], zones: list[str]) -> DataFrame:
     """One UTC instant for every stamp that denotes exactly one.
 
     ``stamps``: stamp_id, source, raw, mjdref, timezero, system, zone, latest (timestamp after which it can't lie, or
-    null).  ``leaps``: (MJD from which valid, TAI - UTC in seconds); ``zones``: the zone names that occur and exist.
-    Every text is parsed in all forms it may have.  Where two leading numbers leave day and month open, a
-    mixture of the orders of each source, fitted to convergence, weighs the parses: each stamp adds its likelihood under each
-    parse that gives a date, the posterior chooses, and below SURE the stamp stays marked as ambiguous.
-
-    Output: stamp_id, utc_ms (null if no single instant), status: 'ok', 'ambiguous' (more than one instant is left),
-    'unusable' (null, empty, incomplete, impossible or other text, unknown system or zone).  Null ids are kept; a
-    repeated id counts once; NaN in mjdref or timezero is as null.
+    null).  ``leaps``: (MJD from which valid, TAI - UTC in seconds); ``zones``: the zone names that exist.
+
+    Every text is parsed in all forms it may have.  Where more than one is valid (day and month, the century of two digits,
+    the unit of a Unix count, a Julian or modified Julian date or a bare year), a mixture of the forms of each source, fitted
+    by expectation-maximisation to convergence, weighs the parses: each stamp adds its likelihood under every valid parse (a
+    date can't lie behind the stamp's arrival and is rarer the older it is), the posterior chooses, and below SURE the
+    stamp stays marked as ambiguous.  Parses that give the same instant count together.
+
+    Output: stamp_id, utc_ms (null if no single instant), status: 'ok', 'ambiguous' (more than one instant is left, or a
+    local time that its zone has twice, never, or no zone), 'unusable' (null, empty, incomplete, impossible or other text,
+    unknown system).  A second 60 is the next day's first where ``leaps`` has one, else impossible.  Null ids are kept; a
+    repeated id counts once; NaN and infinite mjdref or timezero are as null.
     """
-    raw = F.trim(F.col("raw"))
+    with_checkpoints(stamps.sparkSession)
     system = F.upper(F.trim("system"))
-    rows = stamps.select("stamp_id", F.coalesce("source", F.lit("")).alias("source"), raw.alias("raw"), finite("mjdref").alias("mjdref"), finite("timezero").alias("timezero"), F.when(system == "GMT", "UTC").otherwise(system).alias("system"), F.when(F.col("zone").isin(zones), F.col("zone")).alias("zone"), "latest").dropDuplicates(["stamp_id"])
-    tail = r"\s*([+-]\d{2}:?\d{2}|[A-Z]{1,5})$"
-    named = F.regexp_extract("raw", r"[\d:apmAPM ]" + tail, 1)
-    signed = named.rlike(r"^[+-]") & F.col("raw").rlike(r"\d:?\d{2}(:\d{2})?([.,]\d+)?\s*[+-]\d{2}:?\d{2}$|T\d{6}[+-]")
-    word = named.rlike("^[A-Z]") & ~named.isin("AM", "PM") & F.col("raw").rlike(r"\d.*[\d ](AM |PM )?[A-Z]{1,5}$")
-    rows = rows.withColumn("tag", F.when(signed | word, named).otherwise(F.lit("")))
-    rows = rows.withColumn("body", F.when(F.col("tag") != "", F.trim(F.expr("substring(raw, 1, length(raw) - length(tag))"))).otherwise(F.col("raw")))
-    digits = F.regexp_replace("tag", "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    minutes = F.when((F.length(digits) == 4) & (minutes <= 1080), F.when(F.col("tag").startswith("-"), -minutes).otherwise(minutes))
-    rows = rows.withColumn("offset", F.when(F.col("tag") == "", None).when(F.length(digits) == 4, minutes).otherwise(_zone_offset(F.col("tag"), F.col("zone"))))
-    rows = _parsed(rows)
-    number = F.when(F.col("raw").rlike(r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"), F.col("raw").try_cast("double"))
-    rows = rows.withColumn("number", number).withColumn("date_number", F.when(F.col("raw").rlike(r"^(?i)M?JD[ =]*\d+(\.\d+)?$"), F.regexp_extract("raw", r"(\d+(\.\d+)?)$", 1).try_cast("double")))
-    latest_ms = F.unix_micros(F.col("latest").cast("timestamp")) / 1000.0
-    rows = rows.withColumns({"latest": latest_ms, "is_jd": F.col("raw").rlike("^(?i)JD")})
-    # Parsed once: the mixtures and the instants both read it, and the plan of either stays small.
-    with_checkpoints(rows.sparkSession)
-    rows = rows.select("stamp_id", "source", "mjdref", "timezero", "system", "zone", "latest", "tag", "offset", "number", "date_number", "is_jd", "dmy", "mdy", "sole").checkpoint()
-    orders = day_month_orders(rows.select("source", "dmy", "mdy", "latest")).checkpoint()
-    rows = rows.join(broadcast_if_small(orders), "source", "left")
-    late = F.col("latest") + 86_400_000.0
-
-    def weight(c: str) -> Column:
-        return F.when(F.col(c).isNull(), 0.0).when(F.col(c) > late, 1e-3).otherwise(1.0) * F.col(f"share_{c}")
-
-    chance = weight("dmy") / (weight("dmy") + weight("mdy"))
-    same = F.col("dmy") == F.col("mdy")
-    two = F.when(F.col("dmy").isNull() | F.col("mdy").isNull() | same, F.coalesce("dmy", "mdy")).when(chance >= SURE, F.col("dmy")).when(chance <= 1 - SURE, F.col("mdy"))
-    unsure = F.col("dmy").isNotNull() & F.col("mdy").isNotNull() & two.isNull()
-    rows = rows.withColumns({"wall": F.coalesce("sole", two), "unsure": unsure})
-    wall, unsure = F.col("wall"), F.col("unsure")
-    astronomic = F.col("system").isin("UTC", "TT", "TDB", "TAI")
-    elapsed = (F.col("mjdref") - UNIX_MJD) * 86_400_000.0 + (F.coalesce("timezero", F.lit(0.0)) + F.col("number")) * 1000.0
-    lo, hi = ((y - 1970) * 365.25 * 86_400_000.0 for y in YEARS)
-    # A Unix count: the one scale among seconds to nanoseconds that gives a plausible year.
-    count = F.lit(None).cast("double")
-    for scale in (1000.0, 1.0, 1e-3, 1e-6):
-        count = F.when((F.col("number") * scale).between(lo, hi), F.col("number") * scale).otherwise(count)
-    mjd = F.when(F.col("date_number").isNotNull(), F.when(F.col("is_jd"), F.col("date_number") - JD_MJD).otherwise(F.col("date_number"))).when(F.col("number") >= 2_400_000, F.col("number") - JD_MJD).otherwise(F.col("number"))
-    day_ms = (mjd - UNIX_MJD) * 86_400_000.0
-    day_ms = F.when(day_ms.between(lo, hi), day_ms)
-    unix = F.col("system").isin("UNIX", "POSIX")
-    rows = rows.withColumns({
-        "moment": F.when(F.col("mjdref").isNotNull(), F.when(astronomic, elapsed)).when(F.col("tag") == "", F.when(unix, count).when(astronomic, F.coalesce(wall, day_ms))).otherwise(wall - F.col("offset") * 60_000.0),
-        "scale": F.when(F.col("mjdref").isNotNull(), F.col("system")).when((F.col("tag") == "") & astronomic, F.col("system")).otherwise("UTC"),
-        "clock": F.when(F.col("mjdref").isNull() & (F.col("tag") == "") & (F.col("system") == "LOCAL"), wall),
-    })
-    rows = rows.withColumn("tai", F.when(F.col("scale") == "TAI", F.col("moment")).when(F.col("scale").isin("TT", "TDB"), F.col("moment") - TT_TAI_MS))
-    rows = _with_local(rows.withColumn("leap", _leap_offset(F.col("tai"), leaps)), "clock", "zone", "local")
-    utc = F.coalesce("local", F.round(F.when(F.col("scale") == "UTC", F.col("moment")).otherwise(F.col("tai") - F.col("leap"))).cast("long"))
-    done = rows.select("stamp_id", utc.alias("utc_ms"), (unsure | wall.isNotNull()).alias("is_date"))
-    return done.select("stamp_id", "utc_ms", F.when(F.col("utc_ms").isNotNull(), "ok").when(F.col("is_date"), "ambiguous").otherwise("unusable").alias("status"))
+    latest = F.unix_micros(F.col("latest").cast("timestamp")) / 1000.0
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c).cast("double")).alias(c)
+    rows = stamps.select("stamp_id", F.coalesce("source", F.lit("")).alias("source"), F.trim("raw").alias("raw"), number("mjdref"), number("timezero"), F.when(system == "GMT", "UTC").otherwise(system).alias("system"), "zone", latest.alias("latest")).dropDuplicates(["stamp_id"])
+    known = frozenset(zones)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield _candidates(part, leaps, known)
+
+    parsed = rows.mapInPandas(run, CANDIDATES)
+    instant = lambda k: F.when(~F.isnan(k), F.round(k).cast("long"))
+    parsed = parsed.select("stamp_id", "source", "form", "is_date", F.array(*[instant(f"u{k}") for k in range(4)]).alias("utc"), F.array(*[f"w{k}" for k in range(4)]).alias("weight"))
+    parsed = parsed.checkpoint()  # read by the mixtures and by the choice
+    shares = form_shares(parsed).checkpoint()
+    rows = parsed.join(broadcast_if_small(shares), ["source", "form"], "left")
+    own = F.zip_with("weight", "shares", lambda w, s: w * s)
+    rows = rows.withColumn("own", own)
+    top = F.get("utc", (F.array_position("own", F.array_max("own")) - 1).cast("int"))
+    like_top = F.aggregate(F.filter(F.arrays_zip("utc", "own"), lambda p: p["utc"].eqNullSafe(top)), F.lit(0.0), lambda a, p: a + p["own"])
+    posterior = like_top / F.aggregate("own", F.lit(0.0), lambda a, w: a + w)
+    utc = F.when(F.col("form").isNull(), F.get("utc", F.lit(0))).when(posterior >= SURE, top)
+    maybe = F.col("is_date") | F.exists("utc", lambda u: u.isNotNull())
+    return rows.select("stamp_id", utc.alias("utc_ms"), F.when(utc.isNotNull(), "ok").when(maybe, "ambiguous").otherwise("unusable").alias("status"))
