@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import kernels, stats
 from tickloom.functions.expr import phase, rough_energy, wrap_around_zero, wrap_zero_one
 from tickloom.operators import events as ev
-from tickloom.operators import folding, fourier, simulate
+from tickloom.operators import folding, fourier, gti, simulate
 from tickloom.operators import lightcurve as lc
 from tickloom.plans import timing
 from tickloom.streaming.light_curves import streaming_intervals, streaming_light_curve
@@ -18,24 +18,34 @@ def _events(spark, times, key="k"):
 
 
 def test_dead_time(spark, rows):
-    t = [1, 1.05, 1.07, 1.08, 1.1, 2, 2.2, 3, 3.1, 3.2]
-    e = _events(spark, t)
-    assert [r[0] for r in rows(ev.dead_time(e, ["instr"], 0.11).select("t"))] == [1, 2, 2.2, 3, 3.2]
-    t2 = [1, 1.1, 2, 2.2, 3, 3.1, 3.2]
-    assert [r[0] for r in rows(ev.dead_time_paralyzable(_events(spark, t2), ["instr"], 0.11).select("t"))] == [1, 2, 2.2, 3]
-
-
-@pytest.mark.parametrize("events,priors,expected", [
-    ([2.0], [2.0], {0: 1.0, 1: 1.0 - 0.5, 2: 0.0}),
-    ([2.1], [0.7], {0: 0.1, 1: 0.6, 2: 0.0}),
-    ([1.1, 1.2, 1.4, 1.5, 1.8, 4.0], [0.55, 0.05, 0.15, 0.05, 0.25, 2.15], {0: 0.8, 1: 0.9, 2: 1.0}),
-])
-def test_livetime(spark, events, priors, expected):
-    # Bins are centred on 1, 2, 3: times are shifted by half a bin so that bin 0 starts at 0.
-    df = spark.createDataFrame([(t - 0.5, p) for t, p in zip(events, priors)], "t double, prior double")
-    got = {r.bin: r.expo for r in lc.livetime_per_bin(df, 1.0, 3).collect()}
-    for b, x in expected.items():
-        assert got.get(b, 0.0) == pytest.approx(x)
+    rng = np.random.default_rng(11)
+    t = np.sort(np.round(rng.uniform(0, 60, 150), 3))
+    kept, last = [], -1e9
+    for x in t:
+        if x - last >= 0.4:
+            kept.append(x)
+            last = x
+    assert [r[0] for r in rows(ev.dead_time(_events(spark, t), ["instr"], 0.4).select("t"))] == kept
+    alone = [x for x, before in zip(t, np.r_[-1e9, t]) if x - before >= 0.4]
+    assert [r[0] for r in rows(ev.dead_time_paralyzable(_events(spark, t), ["instr"], 0.4).select("t"))] == alone
+
+
+def test_livetime(spark):
+    # An event's live stretch is shared out among the bins by its overlap with each of them.
+    rng = np.random.default_rng(12)
+    t, prior = np.sort(rng.uniform(0, 20, 40)), rng.uniform(0, 3, 40)
+    got = {r.bin: r.expo for r in lc.livetime_per_bin(spark.createDataFrame([(float(x), float(p)) for x, p in zip(t, prior)], "t double, prior double"), 2.0, 10).collect()}
+    for b in range(10):
+        want = sum(max(0.0, min(x, 2.0 * b + 2) - max(x - p, 2.0 * b)) for x, p in zip(t, prior))
+        assert got.get(b, 0.0) == pytest.approx(want)
+
+
+def test_segments_inside_good_time(spark):
+    # Two intervals with a gap; the rest of each behind its last full segment is left out.
+    good = spark.createDataFrame([(10.0, 55.0), (61.0, 82.0)], "start double, stop double")
+    t = [9.0, 10.5, 29.9, 30.0, 49.0, 51.0, 58.0, 61.0, 80.0, 81.5]
+    bins = fourier.bins_in_segments(_events(spark, t), gti.segments(good, 20.0), 5.0, 20.0)
+    assert {(r.seg // 10**6, r.bin, r.n) for r in bins.collect()} == {(10, 0, 1), (10, 3, 1), (30, 0, 1), (30, 3, 1), (61, 0, 1), (61, 3, 1)}
 
 
 def test_filters_and_calibration(spark, rows):
@@ -74,6 +84,18 @@ def test_fast_fold_recovers_a_period():
     assert abs(p[np.argmax(z)] - 32.25) < 0.02 and kernels.fast_fold(x, 32)[0][0] == 32
 
 
+def test_fast_fold_uses_the_whole_curve():
+    # 720 bins at 22: 33 rows, more than a power of two, so that nothing at the end may be cut.
+    x = np.zeros(720)
+    x[715:] = 3
+    for base in (22, 45, 90):
+        rows = -(-720 // base)
+        table = np.zeros(2 ** math.ceil(math.log2(rows)) * base)
+        table[:720] = x
+        direct = kernels.z2_of_profiles(table.reshape(-1, base).sum(axis=0)[None, :], 2)[0]
+        assert kernels.fast_fold(x, base)[1][0] == pytest.approx(direct) and direct > 0
+
+
 def test_fft_matches_sums(spark, rows):
     rng = np.random.default_rng(2)
     e = _events(spark, rng.uniform(0, 64, 500))

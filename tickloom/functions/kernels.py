@@ -76,9 +76,9 @@ def fast_fold(x: np.ndarray, base: int, n: int = 2) -> tuple[np.ndarray, np.ndar
     The rows of the table (one for each period) are padded to a power of two; halves are folded recursively: trial r of a
     table is the sum of trial r // 2 of its upper half and that of its lower half, shifted by the rounded half of r.
     """
-    rows = max(2, 2 ** math.ceil(math.log2(max(2, len(x) // base))))
+    rows = 2 ** max(1, math.ceil(math.log2(max(1, math.ceil(len(x) / base)))))
     table = np.zeros(rows * base)
-    table[: min(len(x), len(table))] = x[: len(table)]
+    table[: len(x)] = x
     folded = _halves(table.reshape(rows, base))
     return base + np.arange(rows) / (rows - 1), z2_of_profiles(folded, n)
 
@@ -114,14 +114,14 @@ def fit_template(profile: np.ndarray, template: np.ndarray) -> tuple[float, floa
     return ph, min(err, 0.5), amp, float(profile.mean())
 
 
-def accelerate(x: np.ndarray, zmax: int, n_best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best (frequency bin, drift in bins, power) of a series: its transform correlated with those of drifting signals."""
+def accelerate(x: np.ndarray, zmax: int, n_best: int, dz: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best (frequency bin, drift in bins, power) of a series: its transform correlated with those of signals that drift by every ``dz`` bins."""
     n = len(x)
     spectrum = np.fft.rfft(x - x.mean()) / math.sqrt(max(x.sum(), 1.0) / 2)
     found = []
     half = 2 * zmax + 16
     u = (np.arange(4 * half) + 0.5) / (4 * half)
-    for z in range(-zmax, zmax + 1, 2):
+    for z in range(-zmax, zmax + 1, dz):
         chirp = np.exp(1j * np.pi * z * (u * u - u))
         k = np.arange(-half // 2, half // 2)
         response = (chirp[None, :] * np.exp(-2j * np.pi * k[:, None] * u[None, :])).mean(axis=1)

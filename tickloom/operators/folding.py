@@ -148,7 +148,7 @@ def ffa_search(bins: DataFrame, dt: float, periods: Sequence[int], n: int = 2) -
 
 
 def arrival_times(profiles: DataFrame, template: np.ndarray, keys: Sequence[str] = ("seg",)) -> DataFrame:
-    """Phase of each segment's profile against a template, by maximum likelihood: seg, phase, phase_err, amp, base."""
+    """Phase of each segment's profile against a template, by the greatest correlation: seg, phase, phase_err, amp, base."""
     nbin = len(template)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +176,7 @@ def orbital_search(events: DataFrame, f: float, nbin: int, asini: Sequence[float
 def acceleration_search(bins: DataFrame, n_bins: int, zmax: int, n_best: int) -> DataFrame:
     """Frequency and derivative search in the Fourier domain of one light curve (bin, n): k, z, power; the best ones.
 
-    The transform of one light curve is one task; light curves of several keys run in parallel.
+    The transform of one light curve is one task.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

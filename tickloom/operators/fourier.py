@@ -23,6 +23,20 @@ def segment_bins(events: DataFrame, dt: float, segment: float, keys: Sequence[st
     return events.groupBy(*keys, seg.alias("seg"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bins_in_segments(events: DataFrame, segments: DataFrame, dt: float, length: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Counts in the bins of given segments, as those inside good intervals (see gti.segments): keys, seg, bin, n.
+
+    ``segments``: keys, start.  Each begins where its interval does, so that none reaches into a gap and what is left of an
+    interval is left out; ``seg`` is the segment's start in microseconds.  Events find their segment by a join on buckets of a
+    segment's length, of which each segment touches two; events outside all of them are dropped.
+    """
+    first = F.floor(F.col("start") / length)
+    near = segments.select(*keys, F.col("start").alias("__s"), F.explode(F.array(first, first + 1)).alias("__b"))
+    rows = events.withColumn("__b", F.floor(F.col("t") / length)).join(near, [*keys, "__b"]).where((F.col("t") >= F.col("__s")) & (F.col("t") < F.col("__s") + length))
+    seg, b = F.round(F.col("__s") * 1e6).cast("long"), F.floor((F.col("t") - F.col("__s")) / dt)
+    return rows.groupBy(*keys, seg.alias("seg"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def segment_dft(bins: DataFrame, n_bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Fourier sums of every segment at the positive frequencies below Nyquist: keys, seg, k, re, im, n_ph.
 
@@ -90,22 +104,22 @@ def rebin_geometric(spectrum: DataFrame, ratio: float) -> DataFrame:
     return spectrum.groupBy(j.alias("j")).agg(F.avg("freq").alias("freq"), F.avg("power").alias("power"), F.sum("m").alias("m"))
 
 
-def cross_spectrum(a: DataFrame, b: DataFrame, segment: float) -> DataFrame:
+def cross_spectrum(a: DataFrame, b: DataFrame, segment: float, keys: Sequence[str] = ()) -> DataFrame:
     """Mean cross spectrum of two series over the segments both have, Leahy normalised with the geometric mean of counts.
 
-    Output: k, freq, re (cospectrum), im, p1, p2 (mean Leahy powers), m.
+    Output: keys, k, freq, re (cospectrum), im, p1, p2 (mean Leahy powers), m.
     """
-    y = b.select("seg", "k", F.col("re").alias("re2"), F.col("im").alias("im2"), F.col("n_ph").alias("n2"))
-    both = a.join(y, ["seg", "k"])
+    y = b.select(*keys, "seg", "k", F.col("re").alias("re2"), F.col("im").alias("im2"), F.col("n_ph").alias("n2"))
+    both = a.join(y, [*keys, "seg", "k"])
     scale = 2.0 / F.sqrt(F.col("n_ph") * F.col("n2"))
     out = both.select(
-        "k",
+        *keys, "k",
         (scale * (F.col("re") * F.col("re2") + F.col("im") * F.col("im2"))).alias("c"),
         (scale * (F.col("im") * F.col("re2") - F.col("re") * F.col("im2"))).alias("q"),
         (2.0 * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n_ph")).alias("a"),
         (2.0 * (F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")) / F.col("n2")).alias("b"),
     )
-    out = out.groupBy("k").agg(F.avg("c").alias("re"), F.avg("q").alias("im"), F.avg("a").alias("p1"), F.avg("b").alias("p2"), F.count(F.lit(1)).alias("m"))
+    out = out.groupBy(*keys, "k").agg(F.avg("c").alias("re"), F.avg("q").alias("im"), F.avg("a").alias("p1"), F.avg("b").alias("p2"), F.count(F.lit(1)).alias("m"))
     return out.withColumn("freq", F.col("k") / F.lit(float(segment)))
 
 

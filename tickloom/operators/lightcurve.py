@@ -45,17 +45,22 @@ def histogram(df: DataFrame, axes: Sequence[tuple[str, float, float, int]], weig
     return rows.groupBy(*[f"b{i}" for i in range(len(axes))]).agg((F.sum("w") if weight else F.count(F.lit(1))).alias("counts"))
 
 
-def scrunch(curves: DataFrame, series: str, n_series: int) -> DataFrame:
-    """Sum of light curves over the bins that all series have: bin, counts."""
-    return curves.groupBy("bin").agg(F.sum("counts").alias("counts"), F.countDistinct(series).alias("__n")).where(F.col("__n") == n_series).drop("__n")
-
-
-def livetime_per_bin(events: DataFrame, dt: float, n_bins: int) -> DataFrame:
-    """Livetime in each bin: every event's interval [t - prior, t] shared out among the bins it overlaps: bin, expo."""
+def scrunch(curves: DataFrame, series: str, n_series: int | None = None) -> DataFrame:
+    """Sum of light curves over the bins that all series have (all that there are, or ``n_series``): bin, counts."""
+    sums = curves.groupBy("bin").agg(F.sum("counts").alias("counts"), F.countDistinct(series).alias("__n"))
+    if n_series is None:
+        sums = sums.join(F.broadcast(curves.agg(F.countDistinct(series).alias("__all"))), F.col("__n") == F.col("__all")).drop("__all")
+    else:
+        sums = sums.where(F.col("__n") == n_series)
+    return sums.drop("__n")
+
+
+def livetime_per_bin(events: DataFrame, dt: float, n_bins: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Livetime in each bin: every event's interval [t - prior, t] shared out among the bins it overlaps: keys, bin, expo."""
     a, z = F.col("t") - F.col("prior"), F.col("t")
     rows = events.where("prior > 0").withColumn("bin", F.explode(F.sequence(F.floor(a / dt), F.floor(z / dt))))
     part = F.least(z, (F.col("bin") + 1) * F.lit(float(dt))) - F.greatest(a, F.col("bin") * F.lit(float(dt)))
-    return rows.where(F.col("bin").between(0, n_bins - 1)).groupBy("bin").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("expo"))
+    return rows.where(F.col("bin").between(0, n_bins - 1)).groupBy(*keys, "bin").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("expo"))
 
 
 def exposure_corrected(counts: Column, expo: Column, dt: float, limit: float = 1e-7) -> Column:

@@ -155,8 +155,8 @@ def concatenate_sorted(s, d):
 
 
 def scrunch_lightcurves(s, d):
-    e = events(s, d).where("instr in ('click', 'view', 'error')")
-    return lc.scrunch(e.groupBy("instr", F.floor(F.col("t") / HOUR).alias("bin")).agg(F.count(F.lit(1)).alias("counts")), "instr", 3)
+    e = events(s, d)
+    return lc.scrunch(e.groupBy("instr", F.floor(F.col("t") / HOUR).alias("bin")).agg(F.count(F.lit(1)).alias("counts")), "instr")
 
 
 def join_lightcurves_instr(s, d):
@@ -168,9 +168,12 @@ def livetime_per_bin(s, d):
 
 
 def exposure_corrected_lc(s, d):
-    e = ev.with_prior(events(s, d), ["instr"], 1800.0).where("instr = 'click'")
-    bins = _hourly(e).join(lc.livetime_per_bin(e, HOUR, N_HOURS), "bin", "left")
-    return bins.select("bin", F.round(lc.exposure_corrected(F.col("counts"), F.coalesce("expo", F.lit(0.0)), HOUR, 60.0), 6).alias("counts"))
+    e = ev.with_prior(events(s, d), ["instr"], 1800.0)
+    n = e.groupBy("instr", F.floor(F.col("t") / HOUR).alias("bin")).agg(F.count(F.lit(1)).alias("counts"))
+    grid = e.select("instr").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_HOURS - 1).cast("long"))))
+    bins = grid.join(n, ["instr", "bin"], "left").join(lc.livetime_per_bin(e, HOUR, N_HOURS, ["instr"]), ["instr", "bin"], "left")
+    corrected = lc.exposure_corrected(F.coalesce("counts", F.lit(0)), F.coalesce("expo", F.lit(0.0)), HOUR, 60.0)
+    return bins.select("instr", "bin", F.round(corrected, 6).alias("counts"))
 
 
 def deadtime_paralyzable(s, d):
@@ -236,6 +239,26 @@ def pds_abs(s, d):
     return _pds(s, d, "abs", digits=9)
 
 
+def _gti_segments(s, d) -> DataFrame:
+    """Segments of a day inside the good time, which are the runs of hours with events."""
+    return gti.segments(_gti_of(s, d, None, 0), DAY)
+
+
+def _gti_dft(s, d, where: str = "true") -> DataFrame:
+    return fourier.segment_dft(fourier.bins_in_segments(events(s, d).where(where), _gti_segments(s, d), HOUR, DAY), 24)
+
+
+def pds_gti(s, d):
+    """Averaged spectrum over full segments inside the good time only."""
+    return _round(fourier.averaged_spectrum(_gti_dft(s, d), DAY).select("k", F.round("freq", 12).alias("freq"), "power", "m"), "power")
+
+
+def cospectrum_gti(s, d):
+    """Cross spectrum of two instruments over the same segments inside the good time."""
+    cross = fourier.cross_spectrum(_gti_dft(s, d, "instr = 'click'"), _gti_dft(s, d, "instr = 'view'"), DAY)
+    return _round(cross.select("k", F.col("re").alias("cospectrum"), F.col("im").alias("quadrature"), "m"), "cospectrum", "quadrature")
+
+
 def pds_dynamic(s, d):
     out = _dft(s, d)
     return out.select("seg", "k", F.round(fourier.power(F.col("re"), F.col("im"), F.col("n_ph"), DAY, "leahy"), 6).alias("power"))
@@ -391,8 +414,7 @@ def interpolate_orbit(s, d):
 
 
 def orbital_search(s, d):
-    e = events(s, d).where("instr = 'click'")
-    return folding.orbital_search(e, F0, 8, [500.0, 2000.0], [2 * DAY, 3 * DAY], 6).select("x", "p", "max_stat", "min_stat")
+    return folding.orbital_search(events(s, d), F0, 8, [500.0, 2000.0], [2 * DAY, 3 * DAY], 6).select("x", "p", "max_stat", "min_stat")
 
 
 def ffa_search(s, d):
