@@ -18,4 +18,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by the name of the query."""
-    return {"p1_found": problem_sql.P1_FOUND, "p3_found": problem_sql.P3_FOUND, "p6_found": problem_sql.P6_FOUND} | timing_sql.SQL
+    return {"p1_found": problem_sql.P1_FOUND, "p1_grid": problem_sql.P1_GRID, "p6_times": problem_sql.P6_TIMES, "p3_found": problem_sql.P3_FOUND, "p6_found": problem_sql.P6_FOUND} | timing_sql.SQL

@@ -93,18 +93,22 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("h", F.map_from_entries(first)).drop("e")
 
 
-def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start, stop and duration of all files in seconds, with the unit found."""
+def _header_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = lambda k: F.try_element_at("h", F.lit(k))
     rows = header_fields(spark, sf_dir).select("file_id", F.col("stream_id").alias("source"), h("TSTART").try_cast("double").alias("start"), h("TSTOP").try_cast("double").alias("stop"), h("TIMEUNIT").alias("time_unit"), h("COMMENT").alias("comment"), h("LIVETIME").try_cast("double").alias("livetime"))
     return header_times(rows)
 
 
+def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, stop and duration of all files in seconds, with the unit found."""
+    return _header_times(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("start_s", "stop_s", "duration_s")})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photons not recorded in keV in eV, and durations of files not in seconds in milliseconds."""
     photons = photon_energies(read_table(spark, sf_dir, "photon"), read_table(spark, sf_dir, "observation"))
     a = photons.where("energy_kev is not null and (from_channel or unit != 'keV')").select(F.lit("photon").alias("rec_table"), F.col("event_id").alias("rec_id"), F.round(F.col("energy_kev") * 1000.0).cast("long").alias("common_value"))
-    b = p6_times(spark, sf_dir).where("unit != 's' and duration_s is not null").select(F.lit("file_header").alias("rec_table"), F.col("file_id").alias("rec_id"), F.round(F.col("duration_s") * 1000.0).cast("long").alias("common_value"))
+    b = _header_times(spark, sf_dir).where("unit != 's' and duration_s is not null").select(F.lit("file_header").alias("rec_table"), F.col("file_id").alias("rec_id"), F.round(F.col("duration_s") * 1000.0).cast("long").alias("common_value"))
     return a.dropDuplicates(["rec_id"]).unionByName(b)
 
 
