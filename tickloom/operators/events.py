@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.blocks import blocked_lag, blocked_running_sum
 
 #: Seconds of a block along time in ordered operations.
-BLOCK_S = 86_400.0
+BLOCK_S = 3_600.0
 
 
 def block_of(t: str, seconds: float = BLOCK_S) -> Column:
